@@ -1,0 +1,2 @@
+"""Reserved. The capabilities rebuilt here are batch only: there is no stream
+source, watermark or stateful operator to re-express, so none is offered."""
