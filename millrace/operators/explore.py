@@ -16,8 +16,6 @@ WEAK, STRONG = 0.3, 0.7
 SIGNIFICANT = 0.05
 PAIRS_IN_ONE_ROW = 15
 PATTERN_COLUMNS, PATTERN_COLUMNS_PAIRED, PATTERN_CORRELATION = 5, 4, 0.5
-#: Range buckets that share out a global order between tasks.
-ORDER_BUCKETS = 512
 
 
 def strength(r: Column) -> Column:
@@ -82,25 +80,23 @@ def correlation_test(df: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
-def trend(df: DataFrame, date: str, value: str, buckets: int = ORDER_BUCKETS) -> DataFrame:
+def trend(df: DataFrame, date: str, value: str) -> DataFrame:
     """One row: least-squares slope of the value over its position in date order.
 
     Positions are global, yet no task sorts the table. Rows are first summed per date
-    (combined per task, so a date held by a third of the rows is no burden), and the
-    dates are shared out over range buckets whose offsets come from a second, small sum.
-    Rows of one date share the mean of their positions: their order is not defined.
+    (combined per task, so a date held by a third of the rows is no burden); the dates
+    are range-partitioned, counted up within each partition, and the offsets of the
+    partitions come from a second sum over one row per partition. Rows of one date
+    share the mean of their positions: their order is not defined.
     """
     require(df, date, value)
-    cells = df.select(ref(date).alias("date"), present(df, value).cast("double").alias("value")).dropna()
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = cells.agg(F.percentile_approx("date", probabilities, 10 * buckets).alias("cuts")).first()["cuts"]
-    bounds = F.array(*[F.lit(c).cast(cells.schema["date"].dataType) for c in sorted(set(cuts or []))])
-    # Binary search in the sorted bounds is not built in; buckets are few, so count the bounds passed.
-    bucket = F.size(F.filter(bounds, lambda bound: bound < F.col("date")))
     per_date = (
-        cells.groupBy("date")
+        df.select(ref(date).alias("date"), present(df, value).cast("double").alias("value"))
+        .dropna()
+        .groupBy("date")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        .withColumn("bucket", bucket)
+        .repartitionByRange("date")
+        .withColumn("bucket", F.spark_partition_id())
     )
     within = Window.partitionBy("bucket").orderBy("date")
     placed = per_date.withColumn("before", F.sum("n").over(within) - F.col("n"))
@@ -111,7 +107,7 @@ def trend(df: DataFrame, date: str, value: str, buckets: int = ORDER_BUCKETS) ->
         F.min_by(F.col("total") / F.col("n"), "date").alias("first"),
         F.max_by(F.col("total") / F.col("n"), "date").alias("last"),
     )
-    ahead = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")  # at most ``buckets`` rows
+    ahead = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")  # one row per partition
     n = F.col("n").cast("double")
     slope = (F.col("weighted") - F.col("total") * (n - 1) / 2) / (n * (n * n - 1) / 12)
     return (
