@@ -54,6 +54,17 @@ def text_key(df: DataFrame, name: str) -> Column:
     return distinct_key(df, name).cast("string")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over rows where both are present; null when one of them does not vary.
+
+    The built-in ``corr`` divides by zero there, which is an error in ANSI mode. The
+    determination coefficient is guarded, and the covariance gives the sign.
+    """
+    explained, direction = F.regr_r2(y, x), F.covar_pop(x, y)
+    flat = (direction == 0) & (explained == 1)
+    return F.when(~flat, F.signum(direction) * F.sqrt(explained))
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part`` in percent of ``whole``; 0 for an empty whole."""
     share = F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)

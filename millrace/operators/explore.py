@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.functions import number_text, present
+from millrace.functions import number_text, pearson, present
 from millrace.operators.facts import Fences, TableFacts, outside
 from millrace.operators.selection import quantiles
 from millrace.schema import NUMERIC, columns_of, ref, require
@@ -14,7 +14,7 @@ from millrace.session import small_frame
 
 WEAK, STRONG = 0.3, 0.7
 SIGNIFICANT = 0.05
-PAIRS_IN_ONE_ROW = 15
+PAIRS_IN_ONE_ROW = 6
 PATTERN_COLUMNS, PATTERN_COLUMNS_PAIRED, PATTERN_CORRELATION = 5, 4, 0.5
 
 
@@ -60,7 +60,7 @@ def correlation_statistics(df: DataFrame, first: str, second: str) -> DataFrame:
     x, y = present(df, first).cast("double"), present(df, second).cast("double")
     freedom = F.col("n") - 2
     return (
-        df.agg(F.corr(x, y).alias("r"), F.count_if(x.isNotNull() & y.isNotNull()).alias("n"))
+        df.agg(pearson(x, y).alias("r"), F.count_if(x.isNotNull() & y.isNotNull()).alias("n"))
         .withColumn("t", F.col("r") * F.sqrt(freedom / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0))))
         .withColumn("strength", strength(F.col("r")))
     )
@@ -109,7 +109,7 @@ def trend(df: DataFrame, date: str, value: str) -> DataFrame:
     )
     ahead = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")  # one row per partition
     n = F.col("n").cast("double")
-    slope = (F.col("weighted") - F.col("total") * (n - 1) / 2) / (n * (n * n - 1) / 12)
+    slope = F.try_divide(F.col("weighted") - F.col("total") * (n - 1) / 2, n * (n * n - 1) / 12)
     return (
         per_bucket.withColumn("ahead", ahead)
         .agg(
@@ -151,11 +151,11 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     value = {i: present(df, name).cast("double") for i, name in enumerate(columns)}
     names = [(F.lit(columns[i]).alias("first"), F.lit(columns[j]).alias("second")) for i, j in pairs]
     if len(pairs) <= PAIRS_IN_ONE_ROW:
-        cells = [F.struct(*names[k], F.corr(value[i], value[j]).alias("r")) for k, (i, j) in enumerate(pairs)]
+        cells = [F.struct(*names[k], pearson(value[i], value[j]).alias("r")) for k, (i, j) in enumerate(pairs)]
         return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
     # More aggregates than the JIT compiles in one loop: one row per pair instead, combined per task.
     cells = [F.struct(F.lit(k).alias("pair"), value[i].alias("x"), value[j].alias("y")) for k, (i, j) in enumerate(pairs)]
-    by_pair = df.select(F.inline(F.array(*cells))).groupBy("pair").agg(F.corr("x", "y").alias("r"))
+    by_pair = df.select(F.inline(F.array(*cells))).groupBy("pair").agg(pearson(F.col("x"), F.col("y")).alias("r"))
     labels = F.array(*[F.struct(*pair) for pair in names])
     return by_pair.select(F.element_at(labels, F.col("pair") + 1).alias("names"), "r").select("names.*", "r")
 

@@ -134,7 +134,7 @@ def type_mismatches(facts: TableFacts) -> DataFrame:
     A cheap look at the first rows before trying dates is not needed here: text that
     parses in one of the layouts always has digits and separators.
     """
-    share = {kind: F.col(kind) / F.col("filled") for kind in ("numbers", "dates")}
+    share = {kind: F.try_divide(F.col(kind), F.col("filled")) for kind in ("numbers", "dates")}
     found = (
         facts.frame("text_shares")
         .where((F.col("kind") == TEXT) & (F.col("filled") > 0))
@@ -171,7 +171,7 @@ def invalid_emails(facts: TableFacts) -> DataFrame:
     found = (
         facts.frame("text_shares")
         .where((F.col("kind") == TEXT) & (F.col("filled") > 0))
-        .where(named | (F.col("at_signs") / F.col("filled") >= EMAIL_COLUMN_SHARE))
+        .where(named | (F.try_divide(F.col("at_signs"), F.col("filled")) >= EMAIL_COLUMN_SHARE))
         .withColumn("invalid", F.col("filled") - F.col("emails"))
         .withColumn("pct", percent(F.col("invalid"), F.col("filled")))
         .where(F.col("pct") > EMAILS_BAD)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions import is_missing, present
+from millrace.functions import is_missing, pearson, present
 from millrace.operators.facts import TableFacts
 from millrace.operators.profile import describe as describe_facts
 from millrace.schema import NUMERIC, kind_of, ref, require
@@ -133,7 +133,7 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
 def correlation(df: DataFrame, first: str, second: str) -> DataFrame:
     """Pearson correlation over rows where both are present, at 6 decimals."""
     require(df, first, second)
-    return df.agg(F.round(F.corr(present(df, first), present(df, second)), 6).alias("correlation"))
+    return df.agg(F.round(pearson(present(df, first).cast("double"), present(df, second).cast("double")), 6).alias("correlation"))
 
 
 def sql(df: DataFrame, statement: str) -> DataFrame:
