@@ -6,8 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # The accepted number shape and date layouts.
 NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
-ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
-ISO_TIMESTAMP = r"^\s*\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*$"
+ISO_LAYOUT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 SLASH_LAYOUTS = {r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy", r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd"}
 
 
@@ -27,9 +26,9 @@ def as_integer(column: Column) -> Column:
 
 def as_timestamp(column: Column) -> Column:
     """Timestamp without zone, or null, over the documented layouts."""
-    iso = F.when(column.rlike(ISO_DATE) | column.rlike(ISO_TIMESTAMP), column.try_cast("timestamp_ntz"))
+    iso = F.when(column.rlike(ISO_LAYOUT), column.try_cast("timestamp_ntz"))
     slashes = [
         F.when(column.rlike(shape), F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz"))
         for shape, layout in SLASH_LAYOUTS.items()
     ]
-    return F.coalesce(iso, *slashes)
+    return F.coalesce(iso, F.when(column.contains("/"), F.coalesce(*slashes)))

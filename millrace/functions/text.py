@@ -18,7 +18,7 @@ def strip(column: Column) -> Column:
 
 
 def is_email(column: Column) -> Column:
-    return column.rlike(EMAIL_PATTERN)
+    return column.contains("@") & column.rlike(EMAIL_PATTERN)
 
 
 def number_text(column: Column, digits: int = 2) -> Column:

@@ -21,32 +21,30 @@ CHARTED_COLUMNS = 2
 
 
 def column_roles(facts: TableFacts) -> DataFrame:
-    """Role of each column in a chart, with its distinct count where that decides it.
+    """Role of each column in a chart, and its distinct count.
 
     A numeric column of at most five values in a table of more than eight rows acts as
     a category; a name with ``date`` or ``time`` makes a non-numeric column a time axis.
     """
-    counted = facts.distinct_of([c for c in facts.columns])
-    records = []
-    for position, name in enumerate(facts.columns):
-        records.append((position, name, role_of(facts, name, counted[name]), counted[name]))
+    others = [c for c in facts.columns if c not in facts.numeric]
+    counted = facts.numeric_distinct | facts.distinct_of(others)
+    records = [(i, name, role_of(facts, name), counted[name]) for i, name in enumerate(facts.columns)]
     return small_frame(facts.spark, records, "position int, column string, role string, distinct bigint")
 
 
-def role_of(facts: TableFacts, name: str, distinct: int) -> str:
+def role_of(facts: TableFacts, name: str) -> str:
     kind = facts.kinds[name]
     if kind == NUMERIC:
-        return "categorical" if distinct <= FEW_DISTINCT and facts.rows > FEW_ROWS else "numeric"
+        return "categorical" if facts.numeric_distinct[name] <= FEW_DISTINCT and facts.rows > FEW_ROWS else "numeric"
     named_as_time = any(part in name.lower() for part in ("date", "time"))
     return "datetime" if kind == DATETIME or named_as_time else "categorical"
 
 
 def roles(facts: TableFacts) -> dict[str, list[str]]:
-    """Column names per role, in schema order."""
-    counted = facts.distinct_of([c for c in facts.columns])
+    """Column names per role, in schema order. Only numeric columns need counting for it."""
     found: dict[str, list[str]] = {"numeric": [], "categorical": [], "datetime": []}
     for name in facts.columns:
-        found[role_of(facts, name, counted[name])].append(name)
+        found[role_of(facts, name)].append(name)
     return found
 
 

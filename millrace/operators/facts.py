@@ -8,9 +8,11 @@ scans however many checks it holds, and a single check pays only for its own pas
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import as_number, as_timestamp, is_email, present
@@ -241,28 +243,53 @@ class TableFacts:
     @cached_property
     def text_shares(self) -> dict[str, TextShares]:
         """How many filled cells of each text column read as number, date or e-mail address."""
+        if not self.text:
+            return {}
+        cells = [F.struct(F.lit(i).alias("position"), ref(name).alias("value")) for i, name in enumerate(self.text)]
+        value = F.col("value")
+        padded = value.startswith(" ") | value.endswith(" ")
+        rows = (
+            self.df.select(F.inline(F.array(*cells)))
+            .where(value.isNotNull())
+            .groupBy("position")
+            .agg(
+                F.count(as_number(value)).alias("numbers"),
+                F.count(as_timestamp(value)).alias("dates"),
+                F.count_if(value.contains("@")).alias("at_signs"),
+                F.count_if(is_email(value)).alias("emails"),
+                (F.count_if(padded) > 0).alias("padded"),
+            )
+            .collect()
+        )
+        found = {self.text[r["position"]]: TextShares(*r[1:]) for r in rows}
+        return {c: found.get(c, TextShares(0, 0, 0, 0, False)) for c in self.text}
 
-        def parts(name: str) -> dict[str, Column]:
-            value = ref(name)
-            return {
-                "numbers": F.count(as_number(value)),
-                "dates": F.count(as_timestamp(value)),
-                "at_signs": F.count_if(value.contains("@")),
-                "emails": F.count_if(is_email(value)),
-                "padded": F.coalesce(F.max(value.startswith(" ") | value.endswith(" ")), F.lit(False)),
-            }
-
-        found = self._wide(self.text, parts)
-        return {c: TextShares(**found[c]) for c in found}
+    @cached_property
+    def numeric_distinct(self) -> dict[str, int]:
+        return self.distinct_of(self.numeric)
 
     # -- the facts as a table ------------------------------------------------
 
+    def gather(self, *passes: str) -> None:
+        """Run the named passes side by side: their jobs are independent once the basics
+        are known, and together they keep the cluster busy at each other's tail."""
+        self.basics
+        wanted = [p for p in dict.fromkeys(passes) if p not in self.__dict__]
+        if "outliers" in wanted and "quartiles" in wanted:
+            wanted.remove("quartiles")  # the outlier pass starts with them
+        if len(wanted) < 2:
+            return
+        run = inheritable_thread_target(self.spark)(lambda name: getattr(self, name))
+        with ThreadPoolExecutor(len(wanted)) as pool:
+            list(pool.map(run, wanted))
+
     def frame(self, *passes: str) -> DataFrame:
         """One row per column with the facts of the named passes; the others stay null.
 
         Passes: basics (always), moments, quartiles, outliers, text_distinct,
         constants, text_shares, duplicates.
         """
+        self.gather(*passes)
         basics = self.basics
         moments = self.moments if "moments" in passes else {}
         quartiles = self.quartiles if "quartiles" in passes or "outliers" in passes else {}

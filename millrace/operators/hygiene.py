@@ -86,6 +86,7 @@ CHECKS = (
 
 def cleaning_report(facts: TableFacts) -> DataFrame:
     """All findings with a suggestion each, in check and column order."""
+    facts.gather("duplicates", "text_shares", "constants")
     found = reduce(DataFrame.unionByName, [check(facts) for check in CHECKS])
     return found.withColumn("suggestion", suggestion()).orderBy("check_no", "position")
 

@@ -193,6 +193,7 @@ CHECKS = (
 
 def quality_issues(facts: TableFacts) -> DataFrame:
     """All findings, unordered."""
+    facts.gather("duplicates", "text_distinct", "outliers", "text_shares", "constants")
     return reduce(DataFrame.unionByName, [check(facts) for check in CHECKS])
 
 

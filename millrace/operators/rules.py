@@ -60,6 +60,8 @@ def recommend(facts: TableFacts, issues: DataFrame | None = None) -> DataFrame:
     """One action per finding, most severe first. Skewness counts at 4 decimals."""
     if facts.rows == 0:
         raise ValueError("an empty table has no cleaning plan")
+    if issues is None:
+        facts.gather("duplicates", "text_distinct", "outliers", "text_shares", "constants", "moments")
     found = _with_column_facts(quality_issues(facts) if issues is None else issues, facts)
     found = found.withColumn("skewness", F.round("skewness", 4))
     decision = None

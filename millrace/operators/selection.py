@@ -16,7 +16,7 @@ exact. The driver sees histograms of fixed size, whatever the number of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,23 +53,28 @@ class Bracket:
     def settled(self) -> bool:
         return self.low == self.high
 
-    def holds(self, value: Column) -> Column:
-        return value.between(F.lit(self.low), F.lit(self.high))
+    def holds(self, value: str) -> str:
+        return f"{value} BETWEEN {number(self.low)} AND {number(self.high)}"
 
-    def bucket(self, value: Column, curved: bool) -> Column:
-        """Number of the value's bucket.
+    def bucket(self, value: str, curved: bool) -> str:
+        """SQL for the number of the value's bucket.
 
         Odd rounds divide the logarithm of the distance, which tames ranges stretched
         by a few extreme values.
         """
         low, high = max(self.low, -FINITE), min(self.high, FINITE)
-        distance = F.least(F.greatest(value, F.lit(low)), F.lit(high)) - F.lit(low)
+        distance = f"least(greatest({value}, {number(low)}), {number(high)}) - {number(low)}"
         reach = high - low
         if curved:
-            distance, reach = F.log1p(distance), math.log1p(reach)
+            distance, reach = f"log1p({distance})", math.log1p(reach)
         if not reach > 0:
-            return F.lit(0)
-        return F.least(F.floor(distance / F.lit(reach) * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1)).cast("int")
+            return "0"
+        return f"int(least(floor(({distance}) / {number(reach)} * {number(BUCKETS)}), {BUCKETS - 1}))"
+
+
+def number(x: float) -> str:
+    """A double as SQL, whatever its size; folded to a literal while planning."""
+    return f"double('{float(x)!r}')"
 
 
 def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -97,35 +102,33 @@ def spans(df: DataFrame, columns: Sequence[str]) -> dict[str, Span]:
     return {name: Span(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(columns)}
 
 
-def _keyed(df: DataFrame, brackets: list[Bracket], key) -> DataFrame:
+def _keyed(df: DataFrame, brackets: list[Bracket], key: Callable[[int, Bracket, str], str]) -> DataFrame:
     """``(key, value)`` of the cells inside a bracket; ``key(number, bracket, value)`` names the group.
 
     Brackets of one column do not overlap, so each cell belongs to at most one.
     """
     by_column: dict[str, list[tuple[int, Bracket]]] = {}
-    for number, bracket in enumerate(brackets):
-        by_column.setdefault(bracket.column, []).append((number, bracket))
+    for place, bracket in enumerate(brackets):
+        by_column.setdefault(bracket.column, []).append((place, bracket))
     cells = []
-    for name, inside in by_column.items():
-        value = present(df, name).cast("double")
-        chosen = F
-        for number, bracket in inside:
-            chosen = chosen.when(bracket.holds(value), key(number, bracket, value))
-        cells.append(F.struct(chosen.alias("key"), value.alias("value")))
-    return df.select(F.inline(F.array(*cells))).where(F.col("key").isNotNull())
+    for i, inside in enumerate(by_column.values()):
+        cases = " ".join(f"WHEN {b.holds(f'v{i}')} THEN {key(place, b, f'v{i}')}" for place, b in inside)
+        cells.append(f"struct(CASE {cases} END AS key, v{i} AS value)")
+    columns = [present(df, name).cast("double").alias(f"v{i}") for i, name in enumerate(by_column)]
+    return df.select(*columns).selectExpr(f"inline(array({', '.join(cells)}))").where("key IS NOT NULL")
 
 
 def _refine(df: DataFrame, brackets: list[Bracket], curved: bool) -> list[Bracket]:
     """One round: split each bracket into buckets and keep those that hold a rank."""
-    cells = _keyed(df, brackets, lambda number, b, value: F.lit(number * BUCKETS) + b.bucket(value, curved))
+    cells = _keyed(df, brackets, lambda place, b, value: f"{place * BUCKETS} + {b.bucket(value, curved)}")
     histogram: dict[int, list] = {}
     for row in (
         cells.groupBy("key").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     ).collect():
         histogram.setdefault(row["key"] // BUCKETS, []).append(row)
     narrower = []
-    for number, rows in histogram.items():
-        outer = brackets[number]
+    for place, rows in histogram.items():
+        outer = brackets[place]
         below = outer.below
         for row in sorted(rows, key=lambda r: r["key"]):
             ranks = [r for r in outer.ranks if below <= r < below + row["n"]]
@@ -138,12 +141,12 @@ def _refine(df: DataFrame, brackets: list[Bracket], curved: bool) -> list[Bracke
 def _pick(df: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float]:
     """Count the values of small brackets and read the wanted ranks off."""
     counts: dict[int, list] = {}
-    cells = _keyed(df, brackets, lambda number, b, value: F.lit(number))
+    cells = _keyed(df, brackets, lambda place, b, value: str(place))
     for row in cells.groupBy("key", "value").agg(F.count("*").alias("n")).collect():
         counts.setdefault(row["key"], []).append((row["value"], row["n"]))
     found = {}
-    for number, values in counts.items():
-        bracket, upto = brackets[number], brackets[number].below
+    for place, values in counts.items():
+        bracket, upto = brackets[place], brackets[place].below
         for value, n in sorted(values):
             found |= {(bracket.column, r): value for r in bracket.ranks if upto <= r < upto + n}
             upto += n

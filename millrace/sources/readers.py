@@ -21,12 +21,16 @@ def suffix_of(path: str) -> str:
     return suffix
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False
+) -> DataFrame:
     """Header row; types inferred over the whole file unless a schema is given.
 
-    Inference reads the data once more: give a schema for large files.
+    Inference reads the data once more: give a schema for large files. A quoted field may
+    hold line breaks, so a file is read by one task; say ``lines`` when each record is
+    one line, and large files are split.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", not lines).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 

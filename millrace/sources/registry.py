@@ -23,6 +23,8 @@ REGISTRY_SCHEMA = """
 """
 FIELDS = [part.split()[0] for part in REGISTRY_SCHEMA.split(",")]
 PLANS_KEPT = 10
+LONGEST_DOUBLING = 40
+LONGEST_LINEAGE = 10_000
 
 
 def column_catalogue(df: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def lineage(records: DataFrame, dataset_id, key: str = "dataset_id", parent: str
     spark = records.sparkSession
     chain = spark.sql(
         f"""
-        WITH RECURSIVE chain(id, parent, steps) AS (
+        WITH RECURSIVE chain(id, parent, steps) MAX RECURSION LEVEL {LONGEST_LINEAGE} AS (
           SELECT {key}, {parent}, 0 FROM {{records}} WHERE {key} = :start
           UNION ALL
           SELECT r.{key}, r.{parent}, chain.steps + 1 FROM chain JOIN {{records}} r ON r.{key} = chain.parent
@@ -93,29 +95,33 @@ def lineage(records: DataFrame, dataset_id, key: str = "dataset_id", parent: str
 def lineage_roots(records: DataFrame, key: str = "dataset_id", parent: str = "parent_dataset_id") -> DataFrame:
     """For every dataset its root and how many versions lie before it.
 
-    Pointer doubling: each round lets every unfinished dataset skip as far again as it
-    has come, so a chain of n versions takes log2(n) joins and no pair of versions of
-    a chain is ever listed.
+    Pointer doubling: each round lets every open dataset skip as far again as it has
+    come, so a chain of n versions takes log2(n) joins and no pair of versions of a
+    chain is ever listed. Datasets that have reached their root take no further part, so
+    the root of a long chain never becomes a hot key.
     """
     pointers = records.select(
         F.col(key).alias("id"),
         F.coalesce(parent, key).alias("root"),
         F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("generation"),
+        F.col(parent).isNull().alias("done"),
     )
-    while True:
-        ahead = pointers.select(
-            F.col("id").alias("__id"), F.col("root").alias("__root"), F.col("generation").alias("__further")
+    for _ in range(LONGEST_DOUBLING):
+        ahead = pointers.select(*[F.col(c).alias(f"ahead_{c}") for c in pointers.columns])
+        jumped = (
+            pointers.where(~F.col("done"))
+            .join(ahead, F.col("root") == F.col("ahead_id"), "left")
+            .select(
+                "id",
+                F.coalesce("ahead_root", "root").alias("root"),
+                (F.col("generation") + F.coalesce("ahead_generation", F.lit(0))).alias("generation"),
+                F.coalesce("ahead_done", F.lit(True)).alias("done"),
+            )
         )
-        jumped = pointers.join(ahead, F.col("root") == F.col("__id"), "left").select(
-            "id",
-            F.coalesce("__root", "root").alias("root"),
-            (F.col("generation") + F.coalesce("__further", F.lit(0))).alias("generation"),
-            (F.coalesce(F.col("__further"), F.lit(0)) > 0).alias("moved"),
-        )
-        jumped = cut_lineage(jumped)
-        pointers = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
+        pointers = cut_lineage(pointers.where("done").unionByName(jumped))
+        if pointers.where(~F.col("done")).isEmpty():
             return pointers.select(F.col("id").alias(key), "root", "generation")
+    raise ValueError("the lineage runs in a circle")
 
 
 class DatasetRegistry:
