@@ -125,31 +125,39 @@ def with_neighbours(
     """Add fields of the previous (``before``) and next (``after``) row of the group.
 
     A group is cut into blocks of its integer ``order``, so a group that holds a third
-    of the table spreads over many tasks. Only the edge rows of blocks look across:
-    each block gets the last row of the block before it and the first row of the next.
+    of the table spreads over many tasks. Only groups of several blocks look across
+    blocks: each of their blocks gets the last row of the block before it and the first
+    row of the next. When the whole table lies in one block there is nothing to join.
     """
-    blocked = df.withColumn("__block", F.floor(ref(order) / block))
-    inside = Window.partitionBy(ref(group), "__block").orderBy(ref(order))
+    block_no = F.floor(ref(order) / block)
     earlier = F.struct(*[value.alias(name) for name, value in before.items()])
     later = F.struct(*[value.alias(name) for name, value in after.items()])
-    edges = blocked.groupBy(ref(group), "__block").agg(
-        F.max_by(earlier, ref(order)).alias("__last"), F.min_by(later, ref(order)).alias("__first")
+    blocked = df.withColumn("__block", block_no)
+    inside = Window.partitionBy(ref(group), "__block").orderBy(ref(order))
+    seen = blocked.withColumn("before", F.lag(earlier).over(inside)).withColumn("after", F.lead(later).over(inside))
+    reach = df.agg(F.min(block_no).alias("first"), F.max(block_no).alias("last")).first()
+    if reach["first"] == reach["last"]:
+        return seen.drop("__block")
+
+    long_groups = (
+        blocked.groupBy(ref(group))
+        .agg((F.min("__block") < F.max("__block")).alias("several"))
+        .where("several")
+        .select(ref(group))
     )
     blocks = Window.partitionBy(ref(group)).orderBy("__block")
     edges = (
-        edges.withColumn("__from_before", F.lag("__last").over(blocks))
+        blocked.join(long_groups, group, "left_semi")
+        .groupBy(ref(group), "__block")
+        .agg(F.max_by(earlier, ref(order)).alias("__last"), F.min_by(later, ref(order)).alias("__first"))
+        .withColumn("__from_before", F.lag("__last").over(blocks))
         .withColumn("__from_after", F.lead("__first").over(blocks))
         .drop("__last", "__first")
     )
-    return (
-        blocked.withColumn("__before", F.lag(earlier).over(inside))
-        .withColumn("__after", F.lead(later).over(inside))
-        .join(edges, [group, "__block"], "left")
-        .select(
-            *[ref(c) for c in df.columns],
-            F.coalesce("__before", "__from_before").alias("before"),
-            F.coalesce("__after", "__from_after").alias("after"),
-        )
+    return seen.join(edges, [group, "__block"], "left").select(
+        *[ref(c) for c in df.columns],
+        F.coalesce("before", "__from_before").alias("before"),
+        F.coalesce("after", "__from_after").alias("after"),
     )
 
 
