@@ -52,19 +52,19 @@ def clean_version(
 ) -> Version:
     """Run a plan on a dataset and register the result as its next version.
 
-    Scores of the new version are taken from the written files, so the plan runs once.
+    The parent's size and score are in its record, as a version never changes. Those of
+    the new version are taken from the written files, so the plan runs once.
     """
     parent = registry.get(dataset_id)
     if parent is None:
         raise KeyError(dataset_id)
-    before = TableFacts(read_parquet(registry.spark, parent["parquet_path"]))
-    cleaned = apply_plan(before.df, steps, approved)
+    cleaned = apply_plan(open_version(registry.spark, parent), steps, approved)
     version = parent["dataset_version"] + 1
     name = version_name(parent["dataset_name"], version)
     path = f"{parent['parquet_path'].rsplit('/', 1)[0]}/{name}"
     write_parquet(cleaned.df, path)
     after = TableFacts(read_parquet(registry.spark, path))
-    old = readiness_score(before).first()["score"]
+    after.gather("duplicates", "text_distinct", "outliers", "text_shares", "constants")
     new = readiness_score(after).first()["score"]
     record = registry.create(
         {
@@ -76,9 +76,9 @@ def clean_version(
         }
     )
     report = {
-        "rows_before": before.rows, "rows_after": after.rows,
-        "columns_before": len(before.columns), "columns_after": len(after.columns),
-        "old_score": old, "new_score": new, "improvements": improvements(cleaned.counters),
+        "rows_before": parent["row_count"], "rows_after": after.rows,
+        "columns_before": parent["column_count"], "columns_after": len(after.columns),
+        "old_score": parent["ml_readiness_score"], "new_score": new, "improvements": improvements(cleaned.counters),
     }
     return Version(record, cleaned, report)
 
