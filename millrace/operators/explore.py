@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import number_text, pearson, present
-from millrace.operators.facts import Fences, TableFacts, outside
+from millrace.operators.facts import TableFacts, fences, outside
 from millrace.operators.selection import quantiles
 from millrace.schema import NUMERIC, columns_of, ref, require
 from millrace.session import small_frame
@@ -187,9 +187,7 @@ def outlier_rows(df: DataFrame, column: str) -> DataFrame:
     q1, q3 = quantiles(df, [column], [0.25, 0.75])[column]
     if q1 is None:
         return df.limit(0)
-    spread = q3 - q1
-    limits = Fences(q1 - 1.5 * spread, q3 + 1.5 * spread)
-    return df.where(outside(ref(column), limits) & ~F.isnan(ref(column).cast("double")))
+    return df.where(outside(ref(column), fences(q1, q3)) & ~F.isnan(ref(column).cast("double")))
 
 
 def patterns(facts: TableFacts) -> DataFrame:

@@ -6,6 +6,7 @@ Every check reads the column facts (one row per column) and returns rows of
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -186,15 +187,23 @@ def invalid_emails(facts: TableFacts) -> DataFrame:
     )
 
 
-CHECKS = (
-    missing_values, duplicates, high_cardinality, outliers, type_mismatches, constant_columns, invalid_emails,
-)
+#: The checks in report order, and the passes over the table each of them needs.
+PASSES: dict[Callable[[TableFacts], DataFrame], tuple[str, ...]] = {
+    missing_values: (),
+    duplicates: ("duplicates",),
+    high_cardinality: ("text_distinct",),
+    outliers: ("outliers",),
+    type_mismatches: ("text_shares",),
+    constant_columns: ("constants",),
+    invalid_emails: ("text_shares",),
+}
+CHECKS = tuple(PASSES)
 
 
-def quality_issues(facts: TableFacts) -> DataFrame:
-    """All findings, unordered."""
-    facts.gather("duplicates", "text_distinct", "outliers", "text_shares", "constants")
-    return reduce(DataFrame.unionByName, [check(facts) for check in CHECKS])
+def quality_issues(facts: TableFacts, checks: Sequence[Callable[[TableFacts], DataFrame]] = CHECKS) -> DataFrame:
+    """The findings of the checks (all by default), unordered."""
+    facts.gather(*[needed for check in checks for needed in PASSES[check]])
+    return reduce(DataFrame.unionByName, [check(facts) for check in checks])
 
 
 def quality_report(facts: TableFacts) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import number_text
 from millrace.operators.facts import TableFacts
-from millrace.operators.quality import quality_issues, severity_rank
+from millrace.operators.quality import CHECKS, PASSES, missing_values, quality_issues, severity_rank
 from millrace.schema import NUMERIC
 
 # Decision thresholds (percent) and confidence levels.
@@ -51,18 +53,22 @@ def _decisions() -> dict[str, Column]:
     }
 
 
-def _with_column_facts(issues: DataFrame, facts: TableFacts) -> DataFrame:
-    about = facts.frame("moments", "outliers").select("column", "kind", "skewness", "outliers")
-    return issues.join(F.broadcast(about), "column", "left")
+def _found(facts: TableFacts, checks: Sequence[Callable[[TableFacts], DataFrame]], skewness: bool) -> DataFrame:
+    """The findings of the checks beside what the rules ask of their columns.
+
+    Only the rule for missing values looks at outliers and skewness.
+    """
+    asked = (("moments",) if skewness else ()) + ("outliers",) if missing_values in checks else ()
+    facts.gather(*asked, *[needed for check in checks for needed in PASSES[check]])
+    about = facts.frame(*asked).select("column", "kind", "skewness", "outliers")
+    return quality_issues(facts, checks).join(F.broadcast(about), "column", "left")
 
 
-def recommend(facts: TableFacts, issues: DataFrame | None = None) -> DataFrame:
-    """One action per finding, most severe first. Skewness counts at 4 decimals."""
+def recommend(facts: TableFacts, checks: Sequence[Callable[[TableFacts], DataFrame]] = CHECKS) -> DataFrame:
+    """One action per finding of the checks, most severe first. Skewness counts at 4 decimals."""
     if facts.rows == 0:
         raise ValueError("an empty table has no cleaning plan")
-    if issues is None:
-        facts.gather("duplicates", "text_distinct", "outliers", "text_shares", "constants", "moments")
-    found = _with_column_facts(quality_issues(facts) if issues is None else issues, facts)
+    found = _found(facts, checks, skewness=True)
     found = found.withColumn("skewness", F.round("skewness", 4))
     decision = None
     for issue_type, choice in _decisions().items():
@@ -96,9 +102,9 @@ def _reason() -> Column:
     )
 
 
-def simple_plan(facts: TableFacts, issues: DataFrame | None = None) -> DataFrame:
+def simple_plan(facts: TableFacts) -> DataFrame:
     """The smaller planner: outliers always removed, constants and addresses left alone."""
-    found = _with_column_facts(quality_issues(facts) if issues is None else issues, facts)
+    found = _found(facts, CHECKS, skewness=False)
     kind = F.col("type")
     numeric = F.col("kind") == NUMERIC
     action = (

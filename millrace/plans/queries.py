@@ -164,17 +164,17 @@ def before_after(df: DataFrame) -> DataFrame:
 ACTION = ["column", "issue_type", "severity", "recommendation", "confidence", "auto_applicable"]
 
 
-def actions_for(issue_type: str) -> Callable[[TableFacts], DataFrame]:
-    return lambda facts: rules.recommend(facts).where(F.col("issue_type") == issue_type).select(*ACTION)
+def actions_of(check: Callable[[TableFacts], DataFrame]) -> Callable[[TableFacts], DataFrame]:
+    return lambda facts: rules.recommend(facts, [check]).select(*ACTION)
 
 
-on_facts("l1_missing", "dirty_events", actions_for("missing_values"))
-on_facts("l2_duplicates", "repeated_events", actions_for("duplicate_rows"))
-on_facts("l3_outliers", "dirty_events", actions_for("outliers"))
-on_facts("l4_high_cardinality", "documents", actions_for("high_cardinality"))
-on_facts("l5_type_mismatch", "order_texts", actions_for("type_mismatch"))
-on_facts("l6_constant", "dirty_events", actions_for("constant_column"))
-on_facts("l7_invalid_emails", "dirty_events", actions_for("invalid_emails"))
+on_facts("l1_missing", "dirty_events", actions_of(quality.missing_values))
+on_facts("l2_duplicates", "repeated_events", actions_of(quality.duplicates))
+on_facts("l3_outliers", "dirty_events", actions_of(quality.outliers))
+on_facts("l4_high_cardinality", "documents", actions_of(quality.high_cardinality))
+on_facts("l5_type_mismatch", "order_texts", actions_of(quality.type_mismatches))
+on_facts("l6_constant", "dirty_events", actions_of(quality.constant_columns))
+on_facts("l7_invalid_emails", "dirty_events", actions_of(quality.invalid_emails))
 on_facts("l8_whole_plan", "dirty_events", lambda facts: rules.recommend(facts).select("position", *ACTION))
 on_facts("l9_simple_plan", "dirty_events", lambda facts: rules.simple_plan(facts).select("issue", "column", "action"))
 
