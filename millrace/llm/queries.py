@@ -21,7 +21,7 @@ QUERIES = {
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The words of a text, as a list.
-WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE = {
     "op1_near_duplicates": f"""
@@ -29,7 +29,7 @@ ORACLE = {
             SELECT doc_id, {WORDS.format(text=f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS words FROM documents
         ), shingles AS (
             SELECT doc_id, unnest(list_distinct(CASE len(words) WHEN 0 THEN [] WHEN 1 THEN words
-                ELSE list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1]) END)) AS shingle
+                ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END)) AS shingle
             FROM lists
         ), sizes AS (
             SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
