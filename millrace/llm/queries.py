@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mixture
 from .near_dup import near_duplicates
+from .token_counts import token_counts
+from .token_files import read_digests, write_token_files
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,8 +18,23 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=2)
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), limit=1024)
+
+
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return read_digests(write_token_files(table(spark, folder, "documents"), end=2))
+
+
+def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_token_counts": op2_token_counts,
+    "op3_token_files": op3_token_files,
+    "op4_mixture": op4_mixture,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,4 +68,32 @@ ORACLE = {
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM documents LEFT JOIN sizes USING (doc_id) JOIN roots USING (doc_id)
     """,
+    "op4_mixture": f"""
+        WITH sized AS (
+            SELECT doc_id, source, CAST(len({WORDS.format(text="coalesce(text, '')")}) AS BIGINT) AS size FROM documents
+        ), queued AS (
+            SELECT *, sum(size) OVER (PARTITION BY source) AS source_size, sum(size) OVER (PARTITION BY source
+                ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead
+            FROM sized
+        ), sources AS (
+            SELECT source, CAST(sum(size) AS DOUBLE) AS total, 2 * CAST(sum(size) AS DOUBLE) AS cap,
+                CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+            FROM sized GROUP BY source
+        ), filled AS (
+            SELECT *, CAST(1.5 AS DOUBLE) * sum(total) OVER () AS budget,
+                sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - cap AS before,
+                sum(weight) OVER (ORDER BY cap / weight DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS after
+            FROM sources
+        ), capped AS (
+            SELECT *, cap <= (budget - before) * weight / after AS is_capped FROM filled
+        ), targets AS (
+            SELECT source, CASE WHEN is_capped THEN cap ELSE (budget - coalesce(sum(CASE WHEN is_capped THEN cap END) OVER (), 0))
+                * weight / sum(CASE WHEN NOT is_capped THEN weight END) OVER () END AS target
+            FROM capped
+        )
+        SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+            CAST(greatest(0, least(size, floor(target) - ahead))
+                + greatest(0, least(size, floor(target) - source_size - ahead)) AS BIGINT) AS taken
+        FROM queued JOIN targets ON queued.source IS NOT DISTINCT FROM targets.source
+    """,
 }
