@@ -8,6 +8,7 @@ from .mixing import mixture
 from .near_dup import near_duplicates
 from .token_counts import token_counts
 from .token_files import read_digests, write_token_files
+from .warc import resolve, write_archives
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,11 +31,16 @@ def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5, most=2)
 
 
+def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve(write_archives(table(spark, folder, "pages")))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op4_mixture": op4_mixture,
+    "op8_warc_revisits": op8_warc_revisits,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,4 +102,15 @@ ORACLE = {
                 + greatest(0, least(size, floor(target) - source_size - ahead)) AS BIGINT) AS taken
         FROM queued JOIN targets ON queued.source IS NOT DISTINCT FROM targets.source
     """,
+    "op8_warc_revisits": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), firsts AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
+            FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM firsts
+    """,
 }
