@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .mixing import mixture
 from .near_dup import near_duplicates
+from .quality_vote import quality
+from .sharding import sharded
 from .token_counts import token_counts
 from .token_files import read_digests, write_token_files
 from .warc import resolve, write_archives
@@ -31,6 +34,18 @@ def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5, most=2)
 
 
+def op5_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"))
+
+
+def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharded(table(spark, folder, "documents"), shards=24)
+
+
 def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return resolve(write_archives(table(spark, folder, "pages")))
 
@@ -40,6 +55,9 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op4_mixture": op4_mixture,
+    "op5_contamination": op5_contamination,
+    "op6_quality": op6_quality,
+    "op7_shards": op7_shards,
     "op8_warc_revisits": op8_warc_revisits,
 }
 
