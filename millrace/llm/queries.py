@@ -11,6 +11,7 @@ from .quality_vote import quality
 from .sharding import sharded
 from .token_counts import token_counts
 from .token_files import read_digests, write_token_files
+from .toxicity import toxicity
 from .warc import resolve, write_archives
 
 
@@ -50,6 +51,10 @@ def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return resolve(write_archives(table(spark, folder, "pages")))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
@@ -59,6 +64,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_shards": op7_shards,
     "op8_warc_revisits": op8_warc_revisits,
+    "op10_toxicity": op10_toxicity,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
