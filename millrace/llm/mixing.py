@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schema import ref, require
 from ..session import cut_lineage
 
-ROWS_IN_A_RANGE = 50_000
+ROWS_IN_A_RANGE = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -65,8 +65,6 @@ def schedule(
         ref(id_column).alias("id"), n_words(ref(text_column)).alias("size"), ref(source_column).cast("string").alias("source"),
         digest.alias("digest"), F.xxhash64(ref(text_column)).alias("text_hash"), *row,
     )
-    if carry:
-        slim = cut_lineage(slim)
     digits = max(0, math.ceil(math.log(max(slim.count(), 1) / ROWS_IN_A_RANGE, 16)))
     slim = slim.withColumn("range", F.substring("digest", 1, digits))
     ranges = cut_lineage(slim.groupBy("source", "range").agg(F.sum("size").alias("range_size")))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated
 from .mixing import mixture
 from .near_dup import near_duplicates
+from .pii import pseudonymised
 from .quality_vote import quality
 from .sharding import sharded
 from .token_counts import token_counts
@@ -51,6 +52,11 @@ def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return resolve(write_archives(table(spark, folder, "pages")))
 
 
+def op9_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonymised(documents, key="millrace", count_column="n_replaced")
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_shards": op7_shards,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_toxicity": op10_toxicity,
 }
 
