@@ -57,10 +57,9 @@ def probes(bins: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(order.T.astype(np.intp)), order.argsort(axis=1).astype(np.uint16)
 
 
-def signature(shingles: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """One-permutation minima of a sorted set: the smallest hash in each of ``bins`` equal ranges, and which bins
-    were filled. An empty bin takes the minimum of the first filled bin in its own random order (optimal
-    densification)."""
+def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """One-permutation minima of a sorted set: the smallest hash in each of ``bins`` equal ranges. An empty bin
+    takes the minimum of the first filled bin in its own random order (optimal densification)."""
     bin_of = ((shingles >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], bin_of[1:] != bin_of[:-1])))
     filled = bin_of[first].astype(np.intp)
@@ -80,7 +79,7 @@ def signature(shingles: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
             found[empty[usable]] = found[donor[usable]]
             empty = empty[~usable]
             attempt += 1
-    return found, full
+    return found
 
 
 def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -92,18 +91,5 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(keys)
 
 
-def sketch(found: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """A byte per bin for estimates: 0 where the bin was empty, else 1 to 255 of its minimum."""
-    return np.where(full, (mixed(found) % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.uint8(0))
-
-
 def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
-
-
-def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    """100 * |intersection| >= percent * |union|, on full sorted sets."""
-    if min(len(one), len(other)) * 100 < percent * max(len(one), len(other)):
-        return False
-    both = len(np.intersect1d(one, other, assume_unique=True))
-    return 100 * both >= percent * (len(one) + len(other) - both)

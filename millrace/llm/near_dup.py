@@ -4,13 +4,13 @@
 2. A class gets a one-permutation signature with optimal densification, cut into bands. Classes that share a band
    key share a bucket.
 3. In a bucket only star edges are made, from the member that meets most others to the rest, so a bucket of m
-   members gives m - 1 candidates. They are confirmed on full sets, and confirmed links are contracted.
-4. Members of one bucket that are still in different components are compared with each other: in blocks of bounded
-   size, by their byte sketches, inside the tasks. Only pairs whose estimate is near the threshold or above leave the
-   task, to be confirmed on full sets. So a star loses no link of its bucket.
+   members gives m - 1 candidates. They are checked on full sets, and links among them are contracted.
+4. Two members of a bucket that both fail its hub may still be linked. Where the members of a star are in several
+   components, they are compared with each other, in blocks of bounded size inside the tasks: the difference of each
+   from the hub, known from step 3, gives the exact size of every intersection. Only links leave a task, one for a
+   member and a component. So a star loses no link of its buckets.
 
-With 64 bands of 7 values a pair at similarity 0.8 shares no bucket with a probability of 3e-7, and its estimate falls
-``ESTIMATE_SLACK`` short (over five standard deviations) with one below 1e-7.
+With 64 bands of 7 values a pair at similarity 0.8 shares no bucket with a probability of 3e-7.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schema import ref, require
 from ..session import cut_lineage, scratch_path
 from .common import arrow_map
-from .fingerprints import band_keys, set_digest, shingle_set, signature, similar, sketch
+from .fingerprints import band_keys, set_digest, shingle_set, signature
 from .graph import connected_components
 
 BANDS, ROWS = 64, 7
-ESTIMATE_SLACK = 0.1
-BLOCK = 1_000  # members of a bucket that are compared with each other at once
+BLOCK = 1_000  # members of a star that are compared with each other at once
+COLUMNS_AT_ONCE = 4_096  # of the incidence table that does it
 IDS_TO_BROADCAST = 1_000_000  # 8 bytes each; more ids are joined by shuffle
 DOCUMENTS_AT_ONCE = 512  # whose signatures a task stacks
 
@@ -42,21 +42,18 @@ def _fingerprints(size: int):
                 sets = [shingle_set(text, size) for text in batch.column(1).cast(pa.binary()).to_pylist()]
                 places = [i for i, found in enumerate(sets) if len(found)]
                 keys: list = [None] * len(sets)
-                sketches: list = [None] * len(sets)
                 if places:
-                    signed = [signature(sets[i], BANDS * ROWS) for i in places]
-                    stacked = band_keys(np.stack([found for found, _ in signed]), BANDS, ROWS).view(np.int64)
-                    for place, row, (found, full) in zip(places, stacked, signed):
-                        keys[place], sketches[place] = row, sketch(found, full).tobytes()
+                    stacked = np.stack([signature(sets[i], BANDS * ROWS) for i in places])
+                    for place, row in zip(places, band_keys(stacked, BANDS, ROWS).view(np.int64)):
+                        keys[place] = row
                 yield pa.record_batch(
                     [
                         batch.column(0),
                         pa.array([len(found) for found in sets], pa.int64()),
                         pa.array([set_digest(found) if len(found) else None for found in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(sketches, pa.binary()),
                     ],
-                    names=["id", "n_shingles", "class", "keys", "sketch"],
+                    names=["id", "n_shingles", "class", "keys"],
                 )
 
     return run
@@ -77,55 +74,85 @@ def _sets(size: int):
     return run
 
 
-def _confirm(percent: int):
+def _compare(percent: int):
+    """Of each pair (a, b) whether it is linked, and how the set of a differs from that of b."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ones, others = (batch.column(name).to_pylist() for name in ("one", "other"))
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(ones, others)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
+                batch = whole.slice(start, DOCUMENTS_AT_ONCE)
+                linked, sizes, hubs, lacks, differ = [], [], [], [], []
+                for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist()):
+                    mine, hub = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                    both = len(np.intersect1d(mine, hub, assume_unique=True))
+                    linked.append(100 * both >= percent * (len(mine) + len(hub) - both))
+                    sizes.append(len(mine))
+                    hubs.append(len(hub))
+                    lacks.append(len(hub) - both)
+                    differ.append(np.setxor1d(mine, hub, assume_unique=True).tobytes())
+                yield pa.record_batch(
+                    [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()),
+                     pa.array(hubs, pa.int64()), pa.array(lacks, pa.int64()), pa.array(differ, pa.binary())],
+                    names=["a", "b", "linked", "size", "hub_size", "lacks", "differs"],
+                )
 
     return run
 
 
-def _likely_pairs(rows: list[dict], least: float) -> tuple[list[bytes], list[bytes]]:
-    """Pairs of one cell whose components differ and whose sketches agree in at least ``least`` of the filled bins."""
-    first = [row for row in rows if row["left"]]
-    second = [row for row in rows if row["right"]]
-    ones, others = [], []
-    sketches = np.stack([np.frombuffer(row["sketch"], np.uint8) for row in second])
-    roots = np.array([row["root"] for row in second], dtype=object)
-    classes = np.array([row["class"] for row in second], dtype=object)
-    sizes = np.array([row["n_shingles"] for row in second])
-    for row in first:
-        mine = np.frombuffer(row["sketch"], np.uint8)
-        open_ = (roots != row["root"]) & (classes != row["class"])
-        open_ &= np.minimum(sizes, row["n_shingles"]) >= (least * np.maximum(sizes, row["n_shingles"]))
-        at = np.flatnonzero(open_)
-        if len(at):
-            table = sketches[at]
-            filled = ((table | mine) != 0).sum(axis=1)
-            agree = ((table == mine) & (mine != 0)).sum(axis=1)
-            for place in at[agree >= least * filled]:
-                pair = sorted((row["class"], classes[place]))
-                ones.append(pair[1])
-                others.append(pair[0])
-    return ones, others
-
-
-def _compare_cells(least: float):
-    """Rows come sorted by cell; a cell is at most two blocks of one bucket."""
+PAIR = "a binary, b binary, linked boolean, size long, hub_size long, lacks long, differs binary"
+
+
+def links_within(rows: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between rows of one cell that are in different components, at most one for a row and a component.
+
+    What two sets share is what the hub has, less what either lacks, plus what is in both differences: shingles that
+    both lack, and shingles that both have and the hub has not.
+    """
+    left = [row for row in rows if row["left"]]
+    right = [row for row in rows if row["right"]]
+    number: dict[bytes, int] = {}
+    roots = [np.array([number.setdefault(row["root"], len(number)) for row in side]) for side in (left, right)]
+    if len(number) < 2:
+        return []
+    parts = [[np.frombuffer(row["differs"], np.uint64) for row in side] for side in (left, right)]
+    values = np.concatenate(parts[0] + parts[1])
+    owners = np.repeat(np.arange(len(left) + len(right)), [len(part) for part in parts[0] + parts[1]])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[column] > 1)
+    _, column = np.unique(column[shared], return_inverse=True)
+    owners = owners[shared]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS_AT_ONCE):
+        here = (column >= start) & (column < start + COLUMNS_AT_ONCE)
+        table = np.zeros((len(left) + len(right), COLUMNS_AT_ONCE), np.float32)
+        table[owners[here], column[here] - start] = 1
+        common += table[: len(left)] @ table[len(left) :].T
+    lacks = [np.array([row["lacks"] for row in side]) for side in (left, right)]
+    sizes = [np.array([row["size"] for row in side]) for side in (left, right)]
+    both = rows[0]["hub_size"] - lacks[0][:, None] - lacks[1][None, :] + common.astype(np.int64)
+    linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+    linked &= roots[0][:, None] != roots[1][None, :]
+    found = []
+    for place in np.flatnonzero(linked.any(axis=1)):
+        others = np.flatnonzero(linked[place])
+        _, first = np.unique(roots[1][others], return_index=True)
+        found += [(left[place]["a"], right[other]["a"]) for other in others[first]]
+    return found
+
+
+def _compare_cells(percent: int):
+    """Rows come sorted by cell; a cell is at most two blocks of one star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cell: list[dict]) -> Iterator[pa.RecordBatch]:
-            ones, others = _likely_pairs(cell, least)
-            if ones:
-                yield pa.record_batch([pa.array(ones, pa.binary()), pa.array(others, pa.binary())], names=["a", "b"])
+            if found := links_within(cell, percent):
+                yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
         held: list[dict] = []
         at = None
         for batch in batches:
             for row in batch.to_pylist():
-                cell = (row["key"], row["i"], row["j"])
+                cell = (row["b"], row["i"], row["j"])
                 if cell != at and held:
                     yield from out(held)
                     held = []
@@ -143,15 +170,15 @@ def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _confirmed(candidates: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``candidates`` (a, b: classes) that hold on full sets, which are made anew from the texts."""
+def _compared(candidates: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``candidates`` (a, b: classes) compared on full sets, which are made anew from the texts of those classes."""
     ends = candidates.select(F.col("a").alias("class")).unionByName(candidates.select(F.col("b").alias("class"))).distinct()
     ids = cut_lineage(classes.select("class", "id").join(ends, "class", "left_semi").select("id").distinct())
     sets = arrow_map(_only(texts, ids), _sets(size), "class binary, shingles binary")
     sets = cut_lineage(sets.dropDuplicates(["class"]))
     pairs = candidates.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("one")), "a")
     pairs = pairs.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("other")), "b")
-    return cut_lineage(arrow_map(pairs.select("a", "b", "one", "other"), _confirm(percent), "a binary, b binary"))
+    return cut_lineage(arrow_map(pairs.select("a", "b", "one", "other"), _compare(percent), PAIR))
 
 
 def near_duplicates(
@@ -170,12 +197,12 @@ def near_duplicates(
     require(docs, id_column, text_column)
     spark = docs.sparkSession
     texts = docs.select(ref(id_column).cast("long").alias("id"), ref(text_column).cast("string").alias("text"))
-    schema = "id long, n_shingles long, class binary, keys array<long>, sketch binary"
+    schema = "id long, n_shingles long, class binary, keys array<long>"
     folder = scratch_path(spark, "near-dup")
     arrow_map(texts, _fingerprints(shingle), schema).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     rows.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+        F.min("id").alias("id"), F.first("keys").alias("keys")
     ).write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
 
@@ -185,25 +212,22 @@ def near_duplicates(
     met = members.groupBy("class").agg(F.sum("crowd").alias("met"))
     hubs = members.join(met, "class").groupBy("key").agg(F.max(F.struct("met", "class")).alias("hub"))
     stars = members.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub.class").alias("b")).where("a <> b").distinct()
-    links = _confirmed(cut_lineage(stars), classes, texts, shingle, percent)
+    compared = _compared(cut_lineage(stars), classes, texts, shingle, percent)
+    links = compared.where("linked").select("a", "b")
 
     roots = connected_components(links)
-    placed = members.join(roots, members["class"] == roots["node"], "left").select(
-        members["class"], "key", "crowd", F.coalesce("root", members["class"]).alias("root")
-    )
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = cut_lineage(placed.join(open_keys.select("key"), "key", "left_semi"))
+    placed = compared.join(roots, compared["a"] == roots["node"], "left").withColumn("root", F.coalesce("root", "a"))
+    crowds = placed.groupBy("b").agg(F.count("*").alias("crowd"), F.min("root").alias("low"), F.max("root").alias("high"))
+    rest = placed.join(crowds.where("low <> high").select("b", "crowd"), "b")
     blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
-    rest = rest.join(classes.select("class", "n_shingles", "sketch"), "class")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("class", "key"), blocks).cast("int"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("a", "b"), blocks).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = rest.select(
-        "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "class", "root", "n_shingles", "sketch",
+        "b", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "a", "root", "size", "hub_size", "lacks", "differs",
         (F.col("block") <= F.col("with")).alias("left"), (F.col("block") >= F.col("with")).alias("right"),
     )
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    likely = arrow_map(dealt, _compare_cells(percent / 100 - ESTIMATE_SLACK), "a binary, b binary").distinct()
-    more = _confirmed(cut_lineage(likely), classes, texts, shingle, percent)
+    dealt = cells.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+    more = cut_lineage(arrow_map(dealt, _compare_cells(percent), "a binary, b binary"))
 
     roots = connected_components(links.unionByName(more))
     named = classes.select("class", "id").join(roots, F.col("class") == F.col("node"), "left")
