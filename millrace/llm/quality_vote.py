@@ -27,6 +27,9 @@ SETTLED = 1e-4
 #: rule that is often wrong.
 PRIOR = {"1": 0.994, "0": 0.001, "-": 0.005}
 PRIOR_WEIGHT = 1.0
+#: The most that one vote may speak for a document, in log odds. Junk of one kind passes the rules for all other
+#: kinds, so their praise together must not outweigh the one rule that caught it.
+MOST_PRAISE = 0.05
 
 GOOD, BAD = 1, 0
 
@@ -75,13 +78,13 @@ def traits(text: Column) -> dict[str, Column]:
 
 #: rule -> (share or figure it looks at, good while, bad while), as SQL over the traits; otherwise it abstains.
 RULES: Mapping[str, tuple[str, str, str]] = {
-    "symbols": ("n_symbols / n_words", "< 0.05", "> 0.2"),
+    "symbols": ("n_symbols / nullif(n_words, 0)", "< 0.05", "> 0.2"),
     "capitals": ("n_upper / nullif(n_letters, 0)", "< 0.25", "> 0.6"),
-    "shouting": ("n_shouts / n_words", "< 0.05", "> 0.25"),
-    "repeated_words": ("n_repeat_words / n_words", "< 0.1", "> 0.2"),
-    "repeated_lines": ("n_dup_lines / n_words", "< 0.002", "> 0.02"),
+    "shouting": ("n_shouts / nullif(n_words, 0)", "< 0.05", "> 0.25"),
+    "repeated_words": ("n_repeat_words / nullif(n_words, 0)", "< 0.1", "> 0.2"),
+    "repeated_lines": ("n_dup_lines / nullif(n_words, 0)", "< 0.002", "> 0.02"),
     "variety": ("n_distinct / nullif(least(n_words, 200), 0)", "> 0.35", "< 0.15"),
-    "word_length": ("word_chars / n_words", "between 3 and 9", "> 14"),
+    "word_length": ("word_chars / nullif(n_words, 0)", "between 3 and 9", "> 14"),
     "digits": ("n_digits / nullif(word_chars, 0)", "< 0.1", "> 0.4"),
     "length": ("n_words", ">= 50", "< 10"),
 }
@@ -98,7 +101,7 @@ def estimate(patterns: DataFrame, rules: int) -> tuple[float, list[dict[str, tup
     bad documents.
 
     The first guess takes a document with a bad vote for bad. What rules say of good documents is drawn towards
-    ``PRIOR``; of bad ones one row is added to every vote, so that a vote nobody cast decides nothing.
+    ``PRIOR``; of bad ones a third of a row is added to every vote, so that a vote nobody cast decides nothing.
     """
     total = patterns.agg(F.sum("n")).first()[0] or 0
     guess = F.when(F.instr("pattern", "0") > 0, F.lit(0.1)).otherwise(F.lit(0.9))
@@ -121,7 +124,7 @@ def estimate(patterns: DataFrame, rules: int) -> tuple[float, list[dict[str, tup
             told = {}
             for vote in "10-":
                 of_good = ((row[f"{rule}{vote}g"] or 0.0) + PRIOR[vote] * weight) / (good + weight)
-                of_bad = ((row[f"{rule}{vote}b"] or 0.0) + 1) / (bad + 3)
+                of_bad = ((row[f"{rule}{vote}b"] or 0.0) + 1 / 3) / (bad + 1)
                 told[vote] = (round(of_good, 9), round(of_bad, 9))
             new.append(told)
         change = max([abs(new_share - share)] + [abs(a - b) for x, y in zip(new, said) for vote in "10-" for a, b in zip(x[vote], y[vote])])
@@ -137,7 +140,7 @@ def posterior(share: float, said: list[dict[str, tuple[float, float]]]) -> Colum
     odds = F.lit(math.log(share / (1 - share)))
     for rule, told in enumerate(said):
         vote = F.substring("pattern", rule + 1, 1)
-        worth = {v: math.log(max(told[v][0], 1e-9) / max(told[v][1], 1e-9)) for v in "10-"}
+        worth = {v: min(math.log(max(told[v][0], 1e-9) / max(told[v][1], 1e-9)), MOST_PRAISE) for v in "10-"}
         odds = odds + F.when(vote == "1", worth["1"]).when(vote == "0", worth["0"]).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
