@@ -1,10 +1,14 @@
 """Quality of documents by weak supervision: rules vote or abstain, and what their votes are worth is estimated.
 
 Each rule looks at one trait of a text and says good, bad, or nothing where the trait is in between or cannot be
-judged. Expectation-maximisation over the counts of all vote patterns in the corpus estimates how often a rule says
-what for good and for bad documents. A document is kept when the posterior probability that it is good, given all
-votes on it, is at least one half. Only DataFrame functions are used; each round of estimation is one small
-aggregation over the distinct patterns, of which there are at most 3 to the power of the number of rules.
+judged. A document is good or junk of one of several kinds, one kind for each rule: most junk breaks one rule only, so
+votes are independent of each other within a kind but not within all junk. Expectation-maximisation over the counts
+of all vote patterns in the corpus estimates how common each kind is and how often each rule says what of it. A
+document is kept when the posterior probability that it is good, given all votes on it, is at least one half.
+
+Texts are judged by DataFrame functions only. The counts of patterns, at most 3 to the power of the number of rules
+however large the corpus is, are all that estimation needs; they come to the driver and its probabilities, one for a
+pattern, go back by a join.
 """
 
 from __future__ import annotations
@@ -18,32 +22,29 @@ from ..schema import ref, require
 from ..session import cut_lineage
 
 WORD_BREAKS = "[\\x20\\x09-\\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 ROUNDS = 25
 SETTLED = 1e-4
-#: What a rule is taken to say of good documents before any evidence, and the weight of that, in shares of all rows.
-#: It ties the two classes to their meaning: most junk breaks one rule only, which votes alone would not tell from a
-#: rule that is often wrong.
-PRIOR = {"1": 0.994, "0": 0.001, "-": 0.005}
+#: What a rule is taken to say of good documents, and the other way round of its own kind of junk, before any evidence,
+#: and the weight of that, in shares of all rows. It ties the classes to their meaning.
+PRIOR = {"1": 0.994, "0": 0.001}
 PRIOR_WEIGHT = 1.0
-#: The most that one vote may speak for a document, in log odds. Junk of one kind passes the rules for all other
-#: kinds, so their praise together must not outweigh the one rule that caught it.
-MOST_PRAISE = 0.05
+PASSED = {"1": 0.9, "0": 0.1}  # rows that every rule is taken to have said of each other kind of junk
 
-GOOD, BAD = 1, 0
+Said = list[list[dict[str, float]]]  # class (good, then the kinds), rule, vote -> how often
 
 
 def traits(text: Column) -> dict[str, Column]:
     """Steps of columns, each built on those before; to be added one after the other."""
-    no_breaks = F.translate(text, " \t\n\x0b\f\r", "")
-    words = F.filter(F.split(text, WORD_BREAKS), lambda word: word != "")
+    words = F.array_remove(F.split(text, WORD_BREAKS), "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     hashes = F.transform(F.col("words"), lambda word: F.xxhash64(word))
-    window = F.transform(
-        F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW),
-        lambda i: F.xxhash64(*[F.get(F.col("word_hashes"), i + step) for step in range(WINDOW)]),
-    )
+    def joined(one: str, other: str, shift: int, count: Column) -> Column:
+        """Hashes of each value of ``one`` with that of ``other`` ``shift`` places on."""
+        return F.zip_with(F.slice(one, 1, count), F.slice(other, shift + 1, count), lambda x, y: F.xxhash64(x, y))
+
+    long_, n = F.col("n_words") >= WINDOW, F.col("n_words").cast("int")
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.array_sort(F.transform(F.col("windows"), lambda value, i: F.struct(value.alias("v"), i.alias("i"))))
     again = F.filter(
@@ -59,18 +60,20 @@ def traits(text: Column) -> dict[str, Column]:
     return {
         "words": words,
         "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(no_breaks).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "lines": lines,
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "n_distinct": F.size(F.array_distinct("words")).cast("long"),
         "word_hashes": hashes,
-        "windows": F.when(F.col("n_words") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")),
+        "n_distinct": F.size(F.array_distinct("word_hashes")).cast("long"),
+        #: a window of five words is a pair of pairs and the word behind them
+        "pairs": F.when(long_, joined("word_hashes", "word_hashes", 1, n - 1)),
+        "fours": F.when(long_, joined("pairs", "pairs", 2, n - 3)),
+        "windows": F.when(long_, joined("fours", "word_hashes", 4, n - 4)).otherwise(F.array().cast("array<bigint>")),
         "placed": F.when(repeats, placed).otherwise(F.lit(None)),
         "starts": F.when(F.col("placed").isNotNull(), starts),
         "n_repeat_words": F.coalesce(F.when(F.col("starts").isNotNull(), covered), F.lit(0)).cast("long"),
         "n_upper": F.regexp_count(text, F.lit("\\p{Lu}")),
-        "n_letters": F.regexp_count(text, F.lit("\\p{L}")),
         "n_digits": F.regexp_count(text, F.lit("[0-9]")),
         "n_shouts": F.regexp_count(text, F.lit("!")),
     }
@@ -79,7 +82,7 @@ def traits(text: Column) -> dict[str, Column]:
 #: rule -> (share or figure it looks at, good while, bad while), as SQL over the traits; otherwise it abstains.
 RULES: Mapping[str, tuple[str, str, str]] = {
     "symbols": ("n_symbols / nullif(n_words, 0)", "< 0.05", "> 0.2"),
-    "capitals": ("n_upper / nullif(n_letters, 0)", "< 0.25", "> 0.6"),
+    "capitals": ("n_upper / nullif(word_chars, 0)", "< 0.25", "> 0.6"),
     "shouting": ("n_shouts / nullif(n_words, 0)", "< 0.05", "> 0.25"),
     "repeated_words": ("n_repeat_words / nullif(n_words, 0)", "< 0.1", "> 0.2"),
     "repeated_lines": ("n_dup_lines / nullif(n_words, 0)", "< 0.002", "> 0.02"),
@@ -96,53 +99,52 @@ def votes(rules: Mapping[str, tuple[str, str, str]]) -> Column:
     return F.expr(f"concat({', '.join(said)})")
 
 
-def estimate(patterns: DataFrame, rules: int) -> tuple[float, list[dict[str, tuple[float, float]]]]:
-    """From (pattern, n): the share of good documents, and for each rule how often it gives each vote to good and to
-    bad documents.
+def estimate(counts: Mapping[str, int], rules: int) -> tuple[list[float], Said]:
+    """From the number of documents of each vote pattern: the share of each class, good first, and how often each
+    rule gives each vote to it.
 
-    The first guess takes a document with a bad vote for bad. What rules say of good documents is drawn towards
-    ``PRIOR``; of bad ones a third of a row is added to every vote, so that a vote nobody cast decides nothing.
+    The first guess takes a document for the kind of the first rule that votes against it, and for good if none does.
+    A rule that abstains says nothing of the class.
     """
-    total = patterns.agg(F.sum("n")).first()[0] or 0
-    guess = F.when(F.instr("pattern", "0") > 0, F.lit(0.1)).otherwise(F.lit(0.9))
-    weight = PRIOR_WEIGHT * total
-    share, said = 0.5, [{vote: (1 / 3, 1 / 3) for vote in "10-"}] * rules
+    total, classes = sum(counts.values()), range(rules + 1)
+    guess = {}
+    for pattern in sorted(counts):
+        first_bad = pattern.find("0") + 1  # 0: none
+        guess[pattern] = [0.1 if first_bad else 1.0] + [0.9 if kind == first_bad else 0.0 for kind in classes[1:]]
+    shares, said = [1 / (rules + 1)] * (rules + 1), [[dict(PRIOR) for _ in range(rules)] for _ in classes]
     for _ in range(ROUNDS if total else 0):
-        held = patterns.select("pattern", "n", guess.alias("good"))
-        sums = {"all": F.sum(F.col("n") * F.col("good"))}
-        for rule in range(rules):
-            for vote in "10-":
-                cast = F.substring("pattern", rule + 1, 1) == vote
-                sums[f"{rule}{vote}g"] = F.sum(F.when(cast, F.col("n") * F.col("good")))
-                sums[f"{rule}{vote}b"] = F.sum(F.when(cast, F.col("n") * (1 - F.col("good"))))
-        row = held.agg(*[column.alias(name) for name, column in sums.items()]).first()
-        good = row["all"]
-        bad = total - good
-        new_share = round((good + 1) / (total + 2), 9)
-        new = []
-        for rule in range(rules):
-            told = {}
-            for vote in "10-":
-                of_good = ((row[f"{rule}{vote}g"] or 0.0) + PRIOR[vote] * weight) / (good + weight)
-                of_bad = ((row[f"{rule}{vote}b"] or 0.0) + 1 / 3) / (bad + 1)
-                told[vote] = (round(of_good, 9), round(of_bad, 9))
+        mass = [sum(counts[pattern] * chance[kind] for pattern, chance in guess.items()) for kind in classes]
+        new_shares = [(mass[kind] + 1) / (total + rules + 1) for kind in classes]
+        new: Said = []
+        for kind in classes:
+            told = []
+            for rule in range(rules):
+                rows = {v: sum(counts[p] * chance[kind] for p, chance in guess.items() if p[rule] == v) for v in "10"}
+                before = {v: PRIOR_WEIGHT * total * share for v, share in PRIOR.items()}
+                if kind == rule + 1:
+                    before = {"1": before["0"], "0": before["1"]}
+                elif kind:
+                    before = PASSED
+                whole = sum(rows.values()) + sum(before.values())
+                told.append({v: (rows[v] + before[v]) / whole for v in "10"})
             new.append(told)
-        change = max([abs(new_share - share)] + [abs(a - b) for x, y in zip(new, said) for vote in "10-" for a, b in zip(x[vote], y[vote])])
-        share, said = new_share, new
-        guess = posterior(share, said)
+        change = max(abs(a - b) for a, b in zip(new_shares, shares))
+        change = max([change, *(abs(a[v] - b[v]) for x, y in zip(new, said) for a, b in zip(x, y) for v in "10")])
+        shares, said = new_shares, new
+        guess = {pattern: chances(pattern, shares, said) for pattern in guess}
         if change < SETTLED:
             break
-    return share, said
+    return shares, said
 
 
-def posterior(share: float, said: list[dict[str, tuple[float, float]]]) -> Column:
-    """Probability that a document is good, given its ``pattern``."""
-    odds = F.lit(math.log(share / (1 - share)))
-    for rule, told in enumerate(said):
-        vote = F.substring("pattern", rule + 1, 1)
-        worth = {v: min(math.log(max(told[v][0], 1e-9) / max(told[v][1], 1e-9)), MOST_PRAISE) for v in "10-"}
-        odds = odds + F.when(vote == "1", worth["1"]).when(vote == "0", worth["0"]).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+def chances(pattern: str, shares: list[float], said: Said) -> list[float]:
+    """The probability of each class, given a vote pattern."""
+    logs = [
+        math.log(share) + sum(math.log(told[rule][vote]) for rule, vote in enumerate(pattern) if vote != "-")
+        for share, told in zip(shares, said)
+    ]
+    likely = [math.exp(log - max(logs)) for log in logs]
+    return [value / sum(likely) for value in likely]
 
 
 def judged(docs: DataFrame, text_column: str = "text", rules: Mapping[str, tuple[str, str, str]] = RULES) -> DataFrame:
@@ -173,12 +175,15 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def _decided(found: DataFrame, *first: str) -> DataFrame:
-    patterns = cut_lineage(found.where("NOT base_failed").groupBy("pattern").agg(F.count("*").alias("n")).coalesce(1))
-    share, said = estimate(patterns, len(RULES))
-    good = F.round(posterior(share, said), 9)
-    return found.select(
+    patterns = found.where("NOT base_failed").groupBy("pattern").agg(F.count("*").alias("n"))
+    counts = {row["pattern"]: row["n"] for row in patterns.collect()}  # at most 3 ** len(RULES) rows
+    shares, said = estimate(counts, len(RULES))
+    worth = [(pattern, round(chances(pattern, shares, said)[0], 9)) for pattern in sorted(counts)]
+    told = found.sparkSession.createDataFrame(worth, "pattern string, probability double")
+    judged_rows = found.join(F.broadcast(told), "pattern", "left")  # as many rows as patterns
+    return judged_rows.select(
         *first, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (good >= 0.5)).alias("kept"), good.alias("probability"), F.col("pattern").alias("votes"),
+        (~F.col("base_failed") & (F.col("probability") >= 0.5)).alias("kept"), "probability", F.col("pattern").alias("votes"),
     )
 
 
