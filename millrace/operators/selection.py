@@ -1,16 +1,15 @@
 """Exact order statistics and quantiles of any number of rows.
 
-The built-in exact ``percentile`` keeps every distinct value of a column in one
-task. Here the position is found by histogram refinement instead: count the rows
-per equal-width bucket of the current bracket, keep the one bucket that holds the
-wanted rank, and repeat inside it until the bracket is small. A round is one
-column-pruned scan with an aggregate of at most ``BUCKETS`` groups per bracket,
-combined per task, so no task ever holds or sorts the column. Only the last, small
-bracket has its values counted one by one.
-
-Bucketing is monotone in floating point (subtract, divide, floor), and the next
-bracket is the true minimum and maximum seen in the chosen bucket, so the result is
-exact. The driver sees histograms of fixed size, whatever the number of rows.
+The built-in exact ``percentile`` keeps every distinct value of a column in one task. Here one scan counts the rows
+per equal-width bucket of the column's range and keeps the bucket that holds the wanted rank; for evenly spread values
+that is all but done. Where many rows are left, because the range is stretched or the values sit in few places, a
+mergeable sketch (``percentile_approx``) gives two values between which the rank must lie: its rank error is a fixed
+share of the rows, whatever the values are. One more scan counts exactly what is below, equal to and between the two.
+The rank is then at one of them or in the open interval, which holds less than a thousandth of the rows, and so on.
+
+Small intervals are counted value by value. A million rows take at most five column-pruned scans in all, a billion
+seven, for any distribution. Nothing is sorted, and the driver sees histograms of fixed size and the values of
+intervals with at most ``SMALL_BRACKET`` rows.
 """
 
 from __future__ import annotations
@@ -23,10 +22,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.values import present
 
-BUCKETS = 1024
+BUCKETS = 4096
+FINITE = 8e307
+ACCURACY = 10_000  # a sketch errs by at most this share of the rows it saw
 SMALL_BRACKET = 1000
 COLUMNS_PER_PASS = 40
-FINITE = 8e307
 
 
 @dataclass(frozen=True)
@@ -56,19 +56,13 @@ class Bracket:
     def holds(self, value: str) -> str:
         return f"{value} BETWEEN {number(self.low)} AND {number(self.high)}"
 
-    def bucket(self, value: str, curved: bool) -> str:
-        """SQL for the number of the value's bucket.
-
-        Odd rounds divide the logarithm of the distance, which tames ranges stretched
-        by a few extreme values.
-        """
+    def bucket(self, value: str) -> str:
+        """SQL for the number of the value's bucket: subtract, divide, floor, so monotone in floating point."""
         low, high = max(self.low, -FINITE), min(self.high, FINITE)
-        distance = f"least(greatest({value}, {number(low)}), {number(high)}) - {number(low)}"
         reach = high - low
-        if curved:
-            distance, reach = f"log1p({distance})", math.log1p(reach)
         if not reach > 0:
             return "0"
+        distance = f"least(greatest({value}, {number(low)}), {number(high)}) - {number(low)}"
         return f"int(least(floor(({distance}) / {number(reach)} * {number(BUCKETS)}), {BUCKETS - 1}))"
 
 
@@ -118,9 +112,9 @@ def _keyed(df: DataFrame, brackets: list[Bracket], key: Callable[[int, Bracket,
     return df.select(*columns).selectExpr(f"inline(array({', '.join(cells)}))").where("key IS NOT NULL")
 
 
-def _refine(df: DataFrame, brackets: list[Bracket], curved: bool) -> list[Bracket]:
-    """One round: split each bracket into buckets and keep those that hold a rank."""
-    cells = _keyed(df, brackets, lambda place, b, value: f"{place * BUCKETS} + {b.bucket(value, curved)}")
+def _refine(df: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """Split each bracket into buckets and keep those that hold a rank."""
+    cells = _keyed(df, brackets, lambda place, b, value: f"{place * BUCKETS} + {b.bucket(value)}")
     histogram: dict[int, list] = {}
     for row in (
         cells.groupBy("key").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -138,6 +132,67 @@ def _refine(df: DataFrame, brackets: list[Bracket], curved: bool) -> list[Bracke
     return narrower
 
 
+def _between(value: str, low: float, high: float) -> str:
+    return f"{value} > {number(low)} AND {value} < {number(high)}"
+
+
+def _sketched(df: DataFrame, brackets: list[Bracket], slack: float) -> list[list[tuple[float, float]]]:
+    """For each bracket the disjoint closed intervals, in order, that hold its ranks."""
+    names = list(dict.fromkeys(b.column for b in brackets))
+    values = df.select(*[present(df, name).cast("double").alias(f"v{i}") for i, name in enumerate(names)])
+    parts = []
+    for place, b in enumerate(brackets):
+        value = f"v{names.index(b.column)}"
+        shares = [min(1.0, max(0.0, (r - b.below) / b.rows + side)) for r in b.ranks for side in (-slack, slack)]
+        wanted = ", ".join(f"double('{share!r}')" for share in shares)
+        parts.append(F.expr(f"percentile_approx(CASE WHEN {b.holds(value)} THEN {value} END, array({wanted}), {ACCURACY})").alias(f"s{place}"))
+    row = values.agg(*parts).first()
+    found = []
+    for place, b in enumerate(brackets):
+        ends = row[f"s{place}"]
+        merged: list[tuple[float, float]] = []
+        for low, high in sorted(zip(ends[::2], ends[1::2])):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+            else:
+                merged.append((low, high))
+        found.append(merged)
+    return found
+
+
+def _narrowed(df: DataFrame, brackets: list[Bracket], slack: float) -> list[Bracket]:
+    """One round: brackets of a single value, or of the open intervals between two neighbouring sketch values."""
+    names = list(dict.fromkeys(b.column for b in brackets))
+    intervals = _sketched(df, brackets, slack)
+    values = df.select(*[present(df, name).cast("double").alias(f"v{i}") for i, name in enumerate(names)])
+    parts = []
+    for place, (b, own) in enumerate(zip(brackets, intervals)):
+        value = f"v{names.index(b.column)}"
+        for turn, (low, high) in enumerate(own):
+            inside = _between(value, low, high)
+            for name, said in (
+                ("b", f"count_if({value} < {number(low)})"), ("l", f"count_if({value} = {number(low)})"), ("i", f"count_if({inside})"),
+                ("h", f"count_if({value} = {number(high)})"), ("lo", f"min({value}) FILTER (WHERE {inside})"), ("hi", f"max({value}) FILTER (WHERE {inside})"),
+            ):
+                parts.append(F.expr(said).alias(f"{name}{place}_{turn}"))
+    row = values.agg(*parts).first()
+    narrower = []
+    for place, (b, own) in enumerate(zip(brackets, intervals)):
+        left = set(b.ranks)
+        for turn, (low, high) in enumerate(own):
+            below, at_low, inside, at_high = (row[f"{name}{place}_{turn}"] for name in "blih")
+            parts_ = [(low, low, below, at_low), (row[f"lo{place}_{turn}"], row[f"hi{place}_{turn}"], below + at_low, inside)]
+            if high > low:
+                parts_.append((high, high, below + at_low + inside, at_high))
+            for first, last, under, rows in parts_:
+                if ranks := [r for r in b.ranks if under <= r < under + rows]:
+                    narrower.append(Bracket(b.column, first, last, under, rows, ranks))
+                    left -= set(ranks)
+        if left:
+            raise ArithmeticError(f"ranks {sorted(left)} of {b.column} are outside what the sketch allows")
+    return narrower
+
+
 def _pick(df: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float]:
     """Count the values of small brackets and read the wanted ranks off."""
     counts: dict[int, list] = {}
@@ -164,13 +219,11 @@ def order_statistics(
             Bracket(name, known[name].low, known[name].high, 0, known[name].rows, sorted(set(ranks[name])))
             for name in wanted[start : start + COLUMNS_PER_PASS]
         ]
-        curved = False
+        first = [b for b in brackets if not b.settled and b.rows > small]
+        if first:
+            brackets = [b for b in brackets if b.settled or b.rows <= small] + _refine(df, first)
         while large := [b for b in brackets if not b.settled and b.rows > small]:
-            refined = _refine(df, large, curved)
-            brackets = [b for b in brackets if b.settled or b.rows <= small] + refined
-            curved = not curved
-            if sum(b.rows for b in refined) == sum(b.rows for b in large):
-                break  # only values beyond the finite range are left; they cannot be split
+            brackets = [b for b in brackets if b.settled or b.rows <= small] + _narrowed(df, large, 3 / ACCURACY)
         found |= {(b.column, r): b.low for b in brackets if b.settled for r in b.ranks}
         rest = [b for b in brackets if not b.settled]
         if rest:

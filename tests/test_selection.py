@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from millrace.operators.selection import quantiles
+from pyspark.sql import DataFrame
+
+from millrace.operators.selection import BUCKETS, SMALL_BRACKET, quantiles
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -60,3 +62,36 @@ def test_large_whole_numbers(spark):
 @given(st.lists(st.floats(-1e12, 1e12), min_size=1, max_size=60))
 def test_any_values(spark, data):
     assert_exact(spark, {"x": data}, small=3)
+
+
+class Scans:
+    """Counts the aggregates over a frame, and the rows they bring to the driver."""
+
+    def __init__(self, monkeypatch):
+        self.scans = self.rows = 0
+        collect, first = DataFrame.collect, DataFrame.first
+
+        def collected(df):
+            found = collect(df)
+            self.scans, self.rows = self.scans + 1, self.rows + len(found)
+            return found
+
+        monkeypatch.setattr(DataFrame, "collect", collected)
+        monkeypatch.setattr(DataFrame, "first", lambda df: collected(df)[0])
+
+
+@pytest.mark.parametrize("shape", ["two humps", "wide exponents", "one value and a tail"])
+def test_scans_and_rows_are_bounded_for_any_distribution(spark, monkeypatch, shape):
+    rng = np.random.default_rng(5)
+    data = {
+        "two humps": np.concatenate([rng.uniform(0, 0.1, 50_000), rng.uniform(1000, 1000.1, 50_000)]),
+        "wide exponents": 10.0 ** rng.uniform(-300, 300, 100_000),
+        "one value and a tail": np.concatenate([np.full(60_000, 7.0), rng.exponential(1e-9, 40_000)]),
+    }[shape]
+    df = spark.createDataFrame([(float(x),) for x in data], "x double").coalesce(4).cache()
+    df.count()
+    counted = Scans(monkeypatch)
+    found = quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75, 0.9])["x"]
+    assert found == pytest.approx(np.quantile(data, [0.1, 0.25, 0.5, 0.75, 0.9]).tolist(), rel=1e-15)
+    assert counted.scans <= 5
+    assert counted.rows <= BUCKETS + 5 * SMALL_BRACKET + 3
