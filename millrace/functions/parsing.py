@@ -7,7 +7,16 @@ from pyspark.sql import Column, functions as F
 # The accepted number shape and date layouts.
 NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 ISO_LAYOUT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
-SLASH_LAYOUTS = {r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy", r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd"}
+OFFSET_LAYOUT = r"^\s*\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})\s*$"
+SLASH_LAYOUTS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": "M/d/yyyy H:mm",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": "M/d/yyyy H:mm:ss",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$": "yyyy/M/d H:mm",
+    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$": "yyyy/M/d H:mm:ss",
+}
+NAMED_LAYOUT, NAMED = r"(?i)^\d{1,2}-[a-z]{3}-\d{4}$", "d-MMM-yyyy"
 
 
 def as_number(column: Column) -> Column:
@@ -25,10 +34,17 @@ def as_integer(column: Column) -> Column:
 
 
 def as_timestamp(column: Column) -> Column:
-    """Timestamp without zone, or null, over the documented layouts."""
+    """Timestamp without zone, or null.
+
+    Layouts: ISO date or time; ISO time with Z or an offset, read as the time in UTC; month/day/year and
+    year/month/day, each also with a time; day-month-year with an English short month name.
+    """
     iso = F.when(column.rlike(ISO_LAYOUT), column.try_cast("timestamp_ntz"))
     slashes = [
         F.when(column.rlike(shape), F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz"))
         for shape, layout in SLASH_LAYOUTS.items()
     ]
-    return F.coalesce(iso, F.when(column.contains("/"), F.coalesce(*slashes)))
+    instant = F.when(column.rlike(OFFSET_LAYOUT), column.try_cast("timestamp"))
+    zoned = F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+    named = F.when(column.rlike(NAMED_LAYOUT), F.try_to_timestamp(F.initcap(F.lower(column)), F.lit(NAMED)).cast("timestamp_ntz"))
+    return F.coalesce(iso, zoned, F.when(column.contains("/"), F.coalesce(*slashes)), named)

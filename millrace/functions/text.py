@@ -22,6 +22,6 @@ def is_email(column: Column) -> Column:
 
 
 def number_text(column: Column, digits: int = 2) -> Column:
-    """A number with up to ``digits`` decimals, at least one, never in exponent form."""
-    fixed = column.cast(f"decimal(38,{digits})").cast("string")
-    return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
+    """A number with up to ``digits`` decimals, at least one; in exponent form only beyond 36 digits."""
+    fixed = F.regexp_replace(column.try_cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.coalesce(fixed, column.cast("string"))

@@ -54,6 +54,18 @@ def text_key(df: DataFrame, name: str) -> Column:
     return distinct_key(df, name).cast("string")
 
 
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a whole row: equal for rows that hold the same values, missing ones (null or NaN) included.
+
+    Values are told apart by their text in a JSON list, where null, the text "null" and the borders between
+    columns cannot be mixed up.
+    """
+    cells = [
+        F.hex(ref(field.name)) if isinstance(field.dataType, T.BinaryType) else text_key(df, field.name) for field in df.schema.fields
+    ]
+    return F.sha2(F.to_json(F.array(*cells)), 256) if cells else F.lit("")
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over rows where both are present; null when one of them does not vary.
 

@@ -16,7 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import as_number, as_timestamp, is_email, present
-from millrace.functions.values import distinct_key, text_key
+from millrace.functions.values import row_digest, text_key
 from millrace.operators.selection import Span, quantiles, stacked
 from millrace.schema import NUMERIC, OTHER, TEXT, kinds, ref
 from millrace.session import small_frame
@@ -97,10 +97,9 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: ``rows`` and ``duplicates`` (rows beyond the first of their kind, nulls equal)."""
-    keys = [distinct_key(df, name).alias(f"k{i}") for i, name in enumerate(df.columns)]
+    """One row: ``rows`` and ``duplicates`` (rows beyond the first of their kind, nulls and NaN equal)."""
     return (
-        df.groupBy(*keys)
+        df.groupBy(row_digest(df).alias("row"))
         .agg(F.count("*").alias("n"))
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
     )

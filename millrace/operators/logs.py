@@ -143,18 +143,19 @@ def with_neighbours(
         blocked.groupBy(ref(group))
         .agg((F.min("__block") < F.max("__block")).alias("several"))
         .where("several")
-        .select(ref(group))
+        .select(ref(group).alias("__group"))
     )
-    blocks = Window.partitionBy(ref(group)).orderBy("__block")
+    blocks = Window.partitionBy("__group").orderBy("__edge")
     edges = (
-        blocked.join(long_groups, group, "left_semi")
-        .groupBy(ref(group), "__block")
+        blocked.join(long_groups, ref(group).eqNullSafe(F.col("__group")), "left_semi")
+        .groupBy(ref(group).alias("__group"), F.col("__block").alias("__edge"))
         .agg(F.max_by(earlier, ref(order)).alias("__last"), F.min_by(later, ref(order)).alias("__first"))
         .withColumn("__from_before", F.lag("__last").over(blocks))
         .withColumn("__from_after", F.lead("__first").over(blocks))
         .drop("__last", "__first")
     )
-    return seen.join(edges, [group, "__block"], "left").select(
+    at_edge = ref(group).eqNullSafe(F.col("__group")) & F.col("__block").eqNullSafe(F.col("__edge"))
+    return seen.join(edges, at_edge, "left").select(
         *[ref(c) for c in df.columns],
         F.coalesce("before", "__from_before").alias("before"),
         F.coalesce("after", "__from_after").alias("after"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.functions import percent
-from millrace.functions.values import LONG_TEXT, short_text
+from millrace.functions.values import short_text
 from millrace.operators.facts import TableFacts, duplicate_rows
 from millrace.schema import BOOLEAN, NUMERIC, TEXT, columns_of, ref
 
@@ -65,11 +65,11 @@ def describe(facts: TableFacts) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values of each text column; ties go to the smaller key.
+    """The ``k`` most frequent values of each text column; ties go to the smaller value.
 
-    Values are counted by their short key, so long texts do not travel; the text of a
-    long winner is looked up afterwards. The rank filter runs per task before its
-    shuffle (top-k per group), so no task receives all values of a column.
+    Equal values are found by their short key, and one text travels for each distinct value
+    of a task. The rank filter runs per task before its shuffle (top-k per group), so no
+    task receives all values of a column.
     """
     columns = columns_of(df, TEXT) if columns is None else columns
     cells = [
@@ -79,22 +79,15 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, k: int = 10) -
         for i, name in enumerate(columns)
     ]
     cells = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
-    by_frequency = Window.partitionBy("position").orderBy(F.desc("count"), "key")
+    by_frequency = Window.partitionBy("position").orderBy(F.desc("count"), "value")
     winners = (
         cells.groupBy("position", "key")
-        .agg(F.count("*").alias("count"))
+        .agg(F.count("*").alias("count"), F.min("value").alias("value"))
         .withColumn("rank", F.row_number().over(by_frequency))
         .where(F.col("rank") <= k)
     )
-    long_texts = (
-        cells.where(F.length("value") > LONG_TEXT)
-        .join(F.broadcast(winners.select("position", "key")), ["position", "key"], "left_semi")
-        .distinct()
-    )
     names = F.element_at(F.array(*[F.lit(name) for name in columns]), F.col("position") + 1)
-    return winners.join(long_texts, ["position", "key"], "left").select(
-        names.alias("column"), F.coalesce("value", "key").alias("value"), "count", "rank"
-    )
+    return winners.select(names.alias("column"), "value", "count", "rank")
 
 
 def completeness(facts: TableFacts) -> DataFrame:

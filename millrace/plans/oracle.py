@@ -369,9 +369,8 @@ define("p4_numeric_statistics_dirty", numeric_sql("dirty_events"))
 def value_counts_sql(view: str, columns: list[str], k: int) -> str:
     cells = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM t WHERE {c} IS NOT NULL" for c in columns)
     return f"""WITH t AS ({plain(view)}), cells AS ({cells}),
-    counted AS (SELECT "column", value, count(*) AS count,
-        CASE WHEN length(value) > 64 THEN '#' || sha256(value) ELSE value END AS key FROM cells GROUP BY "column", value),
-    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, key) AS INT) AS rank FROM counted)
+    counted AS (SELECT "column", value, count(*) AS count FROM cells GROUP BY "column", value),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS INT) AS rank FROM counted)
     SELECT "column", value, count, rank FROM ranked WHERE rank <= {k}"""
 
 
@@ -881,9 +880,9 @@ def insights_sql(view: str) -> str:
     issues AS ({issues}),
     top AS (SELECT * FROM issues ORDER BY {rank}, check_no, position LIMIT 5),
     insights AS (
-      SELECT 'statistical' AS category, 'Dataset structure overview' AS title, n_rows || ' rows, {n} columns' AS description, 'LOW' AS severity,
+      SELECT 'statistical' AS category, 'Size of the table' AS title, n_rows || ' rows, {n} columns' AS description, 'LOW' AS severity,
         1.0::DOUBLE AS confidence_score FROM dup
-      UNION ALL SELECT 'statistical', 'Duplicate records detected', duplicates || ' duplicate rows (' || {pct('duplicates', 'n_rows')} || '%)', 'MEDIUM', 1.0
+      UNION ALL SELECT 'statistical', 'Rows that occur more than once', duplicates || ' duplicate rows (' || {pct('duplicates', 'n_rows')} || '%)', 'MEDIUM', 1.0
         FROM dup WHERE duplicates > 0
       UNION ALL SELECT 'quality', 'Quality finding in ' || coalesce("column", 'the table'), type || ': ' || details,
         CASE WHEN type IN ('missing_values', 'outliers') THEN 'MEDIUM' ELSE 'LOW' END, 0.95 FROM top

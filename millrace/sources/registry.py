@@ -93,18 +93,23 @@ def lineage(records: DataFrame, dataset_id, key: str = "dataset_id", parent: str
 
 
 def lineage_roots(records: DataFrame, key: str = "dataset_id", parent: str = "parent_dataset_id") -> DataFrame:
-    """For every dataset its root and how many versions lie before it.
+    """For every dataset its root and how many versions lie before it. A dataset whose parent is on no
+    record any more is a root.
 
     Pointer doubling: each round lets every open dataset skip as far again as it has
     come, so a chain of n versions takes log2(n) joins and no pair of versions of a
-    chain is ever listed. Datasets that have reached their root take no further part, so
-    the root of a long chain never becomes a hot key.
+    chain is ever listed. Datasets that have reached their root take no further part. Where
+    many datasets hang on one version, that key is hot in a round; the join is one that
+    Spark splits when it is skewed.
     """
-    pointers = records.select(
-        F.col(key).alias("id"),
-        F.coalesce(parent, key).alias("root"),
-        F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("generation"),
-        F.col(parent).isNull().alias("done"),
+    known = records.select(F.col(key).alias("__known")).distinct()
+    kept = records.select(F.col(key).alias("id"), F.col(parent).alias("__parent")).join(known, F.col("__parent") == F.col("__known"), "left")
+    first = F.col("__known").isNull()
+    pointers = kept.select(
+        "id",
+        F.coalesce("__known", "id").alias("root"),
+        F.when(first, 0).otherwise(1).cast("bigint").alias("generation"),
+        first.alias("done"),
     )
     for _ in range(LONGEST_DOUBLING):
         ahead = pointers.select(*[F.col(c).alias(f"ahead_{c}") for c in pointers.columns])

@@ -37,9 +37,9 @@ def test_duplicate_bands(frame, copies, severity):
 
 
 def test_high_cardinality(frame):
-    df = frame("A string, B bigint", A=["v1", "v2", "v3", "v4", "v5", "v6", "v1", "v2", "v3", "v4"], B=range(10))
+    df = frame("A string, B bigint", A=["oak", "elm", "ash", "fir", "yew", "oak", "elm", "bay"], B=range(8))
     (issue,) = only(df, "high_cardinality")
-    assert (issue["column"], issue["pct"]) == ("A", 60.0)
+    assert (issue["column"], issue["pct"]) == ("A", 75.0)
 
 
 def test_high_cardinality_at_half_is_fine(frame):
@@ -47,9 +47,9 @@ def test_high_cardinality_at_half_is_fine(frame):
 
 
 def test_outliers(frame):
-    df = frame("A bigint, B string", A=[10, 12, 11, 13, 12, 11, 12, 13, 11, 100], B=list("aaaaabbbbb"))
+    df = frame("A bigint, B string", A=[*range(40, 59), -700], B=list("ab" * 10))
     (issue,) = only(df, "outliers")
-    assert (issue["severity"], issue["pct"], issue["count"]) == ("medium", 10.0, 1)
+    assert (issue["pct"], issue["count"]) == (5.0, 1)
 
 
 def test_no_outliers_without_spread_or_values(frame):
@@ -58,12 +58,12 @@ def test_no_outliers_without_spread_or_values(frame):
 
 
 def test_type_mismatch(frame):
-    df = frame("A string, B string", A=[*map(str, range(1, 10)), "not_a_number"], B=list("aaaaabbbbb"))
+    df = frame("A string, B string", A=[*(f"{i}.5" for i in range(19)), "seven"], B=list("xy" * 10))
     (issue,) = only(df, "type_mismatch")
-    assert (issue["column"], issue["pct"], issue["target"]) == ("A", 90.0, "numeric")
+    assert (issue["column"], issue["pct"], issue["target"]) == ("A", 95.0, "numeric")
 
 
-@pytest.mark.parametrize("text", ["2024-01-05", "01/05/2024", "2024/01/05", "2024-01-05 10:11:12", "2024-01-05T10:11:12.5"])
+@pytest.mark.parametrize("text", ["2024-01-05", "01/05/2024", "2024/01/05", "2024-01-05 10:11:12", "2024-01-05T10:11:12.5", "2024-01-05T10:11:12Z", "2024-01-05 10:11+02:00", "1/5/2024", "2024/1/5 10:11:12", "05-Jan-2024"])
 def test_date_layouts(frame, text):
     df = frame("A string, B bigint", A=[text] * 9 + ["soon"], B=range(10))
     assert only(df, "type_mismatch")[0]["target"] == "datetime"
