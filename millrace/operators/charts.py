@@ -49,14 +49,16 @@ def roles(facts: TableFacts) -> dict[str, list[str]]:
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """Rows per equal-width bin between minimum and maximum; the maximum is in the last bin."""
+    """Rows per equal-width bin between the finite minimum and maximum; the maximum is in the last bin, infinite
+    values are in the bins at the ends."""
     value = present(df, column).cast("double")
-    span = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    finite = F.when(F.abs(value) < float("inf"), value)
+    span = df.agg(F.min(finite).alias("low"), F.max(finite).alias("high")).first()
     low, high = span["low"], span["high"]
     if low is None:
         return small_frame(df.sparkSession, [], "bin int, bin_start double, bin_end double, count bigint")
     width = (high - low) / bins
-    bin_no = F.least(F.floor((value - low) / width), F.lit(bins - 1)) if width else F.lit(0)
+    bin_no = F.least(F.floor((F.least(F.greatest(value, F.lit(low)), F.lit(high)) - low) / width), F.lit(bins - 1)) if width else F.lit(0)
     return (
         df.where(value.isNotNull())
         .groupBy(bin_no.cast("int").alias("bin"))
@@ -72,6 +74,8 @@ def histograms(facts: TableFacts, bins: int = BINS) -> DataFrame:
     for name in names:
         one = histogram(facts.df, name, bins).withColumn("column", F.lit(name))
         found = one if found is None else found.unionByName(one)
+    if found is None:
+        return small_frame(facts.spark, [], "bin int, bin_start double, bin_end double, count bigint, column string")
     return found
 
 
@@ -126,16 +130,21 @@ def time_line(df: DataFrame, time: str, value: str, unit: str = "day") -> DataFr
     )
 
 
-def sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED) -> DataFrame:
-    """A repeatable sample: the rows with the smallest seeded hash (top-n per task, then merged)."""
-    hashed = F.xxhash64(F.lit(seed), *[text_key(df, c) for c in df.columns])
-    return df.orderBy(hashed).limit(n)
+def sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED, key: list[str] | None = None) -> DataFrame:
+    """A repeatable sample: the rows with the smallest MD5 of the seed and the key (top-n per task, then merged).
+
+    The key should tell rows apart; without one all columns are read for it.
+    """
+    texts = [F.coalesce(text_key(df, c), F.lit("")) for c in key or df.columns]
+    return df.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), *texts))).limit(n)
 
 
-def scatter(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Sampled points of the first two numeric columns."""
-    x, y = (columns or columns_of(df, NUMERIC))[:2]
-    return sample(df).select(ref(x), ref(y))
+def scatter(df: DataFrame, columns: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
+    """Sampled points of the first two numeric columns; no rows when there are fewer."""
+    chosen = (columns or columns_of(df, NUMERIC))[:2]
+    if len(chosen) < 2:
+        return small_frame(df.sparkSession, [], "x double, y double")
+    return sample(df, key=key or chosen).select(*[ref(name) for name in chosen])
 
 
 def heat_map(facts: TableFacts) -> DataFrame:
@@ -159,9 +168,11 @@ def missing_rates(facts: TableFacts) -> DataFrame:
 
 
 def measure_by_category(df: DataFrame, measure: str | None = None, category: str | None = None) -> DataFrame:
-    """First numeric column summed by first text column, largest first."""
-    measure = measure or columns_of(df, NUMERIC)[0]
-    category = category or columns_of(df, TEXT)[0]
+    """First numeric column summed by first text column, largest first; no rows where one of them is missing."""
+    measure = measure or next(iter(columns_of(df, NUMERIC)), None)
+    category = category or next(iter(columns_of(df, TEXT)), None)
+    if measure is None or category is None:
+        return small_frame(df.sparkSession, [], "category string, total double")
     return (
         df.groupBy(ref(category).alias("category"))
         .agg(F.coalesce(F.sum(present(df, measure)), F.lit(0)).alias("total"))

@@ -44,14 +44,15 @@ def _continued_fraction(a: float, b: float, x: float) -> float:
 def two_sided_p(t: float, freedom: int) -> float:
     """Two-sided p-value of Student's t, by the regularised incomplete beta function."""
     a, b, x = freedom / 2.0, 0.5, freedom / (freedom + t * t)
-    if x <= 0.0 or x >= 1.0:
+    rest = t * t / (freedom + t * t)  # 1 - x without cancellation
+    if x <= 0.0 or rest <= 0.0:
         return min(max(x, 0.0), 1.0)
     scale = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log1p(-rest) + b * math.log(rest)
     )
     if x < (a + 1.0) / (a + b + 2.0):
         return scale * _continued_fraction(a, b, x) / a
-    return 1.0 - scale * _continued_fraction(b, a, 1.0 - x) / b
+    return 1.0 - scale * _continued_fraction(b, a, rest) / b
 
 
 def correlation_statistics(df: DataFrame, first: str, second: str) -> DataFrame:

@@ -94,6 +94,8 @@ def summarise_traces(
     Events are combined per task before the shuffle, and the newest per user are chosen
     per task before theirs, so neither a long trace nor a busy user gathers in one task.
     """
+    if limit > TRACE_MOST:
+        raise ValueError(f"at most {TRACE_MOST} traces of a user")
     traces = events.groupBy(ref(user).alias("user"), trace.alias("trace")).agg(
         F.min(ref(time)).alias("started_at"),
         F.max(ref(time)).alias("ended_at"),
@@ -104,7 +106,7 @@ def summarise_traces(
     duration = F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("ended_at"))
     return (
         traces.withColumn("rank", F.row_number().over(newest))
-        .where(F.col("rank") <= min(limit, TRACE_MOST))
+        .where(F.col("rank") <= limit)
         .withColumn("duration_ms", duration)
         .drop("ended_at")
     )

@@ -101,7 +101,9 @@ def run(df: DataFrame, spec: QuerySpec) -> DataFrame:
 
 def head(df: DataFrame, order: list[str], n: int = HEAD_DEFAULT) -> DataFrame:
     """The first rows in the given order; a distributed table has no order of its own."""
-    return df.orderBy(*[ref(c) for c in order]).limit(min(n, HEAD_MOST))
+    if n > HEAD_MOST:
+        raise ValueError(f"at most {HEAD_MOST} rows; use page() for more")
+    return df.orderBy(*[ref(c) for c in order]).limit(n)
 
 
 def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:

@@ -968,3 +968,12 @@ define(
     "FROM events) WHERE nth <= 10",
 )
 define("s15_listing", of("versions", "SELECT dataset_id, dataset_version FROM t ORDER BY upload_timestamp DESC, dataset_id"))
+
+# -- samples: ordered by a digest that both engines compute ------------------
+
+define(
+    "v7_scatter",
+    "SELECT round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice FROM lineitem "
+    "ORDER BY md5('42/' || l_orderkey || '/' || l_linenumber) LIMIT 1000",
+)
+define("v11_sample", "SELECT event_id, ts, user_id, event_type, round(value, 6) AS value, props FROM events ORDER BY md5('42/' || event_id) LIMIT 1000")

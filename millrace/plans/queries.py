@@ -270,11 +270,11 @@ on("v4_pie", "events", lambda df: charts.pie(df, "event_type"))
 on("v5_bar", "part", lambda df: charts.bar(df, "p_type"))
 on("v5_bar_brands", "documents", lambda df: charts.bar(df, "source"))
 on("v6_time_line", "events", lambda df: charts.time_line(df, "ts", "value"))
-on("v7_scatter", "lineitem", charts.scatter)
+on("v7_scatter", "lineitem", lambda df: charts.scatter(df, ["l_quantity", "l_extendedprice"], key=["l_orderkey", "l_linenumber"]))
 on_facts("v8_heat_map", "lineitem", charts.heat_map)
 on_facts("v9_missing_rates", "dirty_events", charts.missing_rates)
 on("v10_measure_by_category", "orders", lambda df: charts.measure_by_category(df, "o_totalprice", "o_orderpriority"), 2)
-on("v11_sample", "events", charts.sample)
+on("v11_sample", "events", lambda df: charts.sample(df, key=["event_id"]))
 on_facts("i1_insights", "repeated_lines", insights.insights)
 on_facts("i2_filter", "dirty_events", lambda facts: insights.filter_insights(insights.insights(facts), "quality", "MEDIUM"))
 on_facts("i3_confidence", "dirty_events", lambda facts: insights.mean_confidence(insights.insights(facts)))
