@@ -43,6 +43,8 @@ def _continued_fraction(a: float, b: float, x: float) -> float:
 
 def two_sided_p(t: float, freedom: int) -> float:
     """Two-sided p-value of Student's t, by the regularised incomplete beta function."""
+    if freedom > 1e7:  # there the normal distribution differs by less than rounding in the gamma functions does
+        return math.erfc(abs(t) / math.sqrt(2.0))
     a, b, x = freedom / 2.0, 0.5, freedom / (freedom + t * t)
     rest = t * t / (freedom + t * t)  # 1 - x without cancellation
     if x <= 0.0 or rest <= 0.0:
