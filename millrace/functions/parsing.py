@@ -44,7 +44,8 @@ def as_timestamp(column: Column) -> Column:
         F.when(column.rlike(shape), F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz"))
         for shape, layout in SLASH_LAYOUTS.items()
     ]
-    instant = F.when(column.rlike(OFFSET_LAYOUT), column.try_cast("timestamp"))
+    with_seconds = F.regexp_replace(column, r"^(\s*\d+-\d+-\d+[T ]\d+:\d{2})(\s?[Z+-])", "$1:00$2")
+    instant = F.when(column.rlike(OFFSET_LAYOUT), with_seconds.try_cast("timestamp"))
     zoned = F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
     named = F.when(column.rlike(NAMED_LAYOUT), F.try_to_timestamp(F.initcap(F.lower(column)), F.lit(NAMED)).cast("timestamp_ntz"))
     return F.coalesce(iso, zoned, F.when(column.contains("/"), F.coalesce(*slashes)), named)
