@@ -23,6 +23,7 @@ WINDOW, STRIDE = 32, 24
 SAMPLE = 1_000  # documents of each label that the network is trained on, at most
 SAMPLE_BYTES = 20_000  # of a document of the sample, at most; longer ones are only scored
 ROUNDS, BATCH, RATE = 6, 128, 0.01
+STEPS = 48  # of a round, at least, however small the sample is
 FIRST_WINDOWS = 5_000  # of each label that the first round takes, at most
 WINDOWS_AT_ONCE = 2_048
 WORDS_REMEMBERED = 100_000  # projected by a task; a full memory is emptied, results do not change
@@ -119,7 +120,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Weights:
             clean = np.flatnonzero(truth[owners] == 0)
             chosen = np.concatenate([top, random.choice(clean, min(len(clean), len(top) // 2), replace=False)])
         optimiser.rate = RATE / (1 + turn)
-        for _ in range(1 if turn == 0 else 2):
+        for _ in range(-(-STEPS // max(1, -(-len(chosen) // BATCH)))):
             chosen = random.permutation(chosen)
             for start in range(0, len(chosen), BATCH):
                 part = chosen[start : start + BATCH]
