@@ -27,9 +27,10 @@ WINDOW = 5
 ROUNDS = 25
 SETTLED = 1e-4
 #: What a rule is taken to say of good documents, and the other way round of its own kind of junk, before any evidence,
-#: and the weight of that, in shares of all rows. It ties the classes to their meaning.
+#: and the weight of that, in shares of all rows. It ties the classes to their meaning, and must stay far below the share
+#: of the rarest kind: a round of estimation hands PRIOR["0"] * PRIOR_WEIGHT rows of each kind to the good ones.
 PRIOR = {"1": 0.994, "0": 0.001}
-PRIOR_WEIGHT = 1.0
+PRIOR_WEIGHT = 1e-9
 PASSED = {"1": 0.9, "0": 0.1}  # rows that every rule is taken to have said of each other kind of junk
 
 Said = list[list[dict[str, float]]]  # class (good, then the kinds), rule, vote -> how often

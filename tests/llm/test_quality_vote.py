@@ -100,6 +100,22 @@ def test_any_share_of_junk(junk_rows):
     assert told["111111111"] > 0.9 and told["11111111-"] > 0.9 and told["011111111"] < 0.5 and told["100111111"] < 0.5
 
 
+@pytest.mark.parametrize("total", [100_000, 30_000_000])
+def test_one_bad_vote_rejects_however_rare_its_kind_is(total):
+    good = {"111111111": 0.8, "1111-1111": 0.1, "1-111-11-": 0.1}
+    told = []
+    for share in (1e-4, 2e-4, 5e-4, 1e-3, 2e-3, 1e-2, 5e-2):
+        for others in (0, 0.02):  # one kind of junk alone, or beside a common one
+            left = 1 - share - others
+            counts = {name: round(total * left * part) for name, part in good.items()}
+            counts |= {"011111111": round(total * share), "111111101": round(total * others)}
+            counts = {name: n for name, n in counts.items() if n}
+            shares, said = estimate(counts, 9)
+            assert all(chances(name, shares, said)[0] > 0.9 for name in good)
+            told.append(chances("011111111", shares, said)[0])
+    assert max(told) < 0.5
+
+
 def test_rules_cover_what_they_say():
     assert len(RULES) == 9 and all(len(rule) == 3 for rule in RULES.values())
 
