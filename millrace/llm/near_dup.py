@@ -30,7 +30,7 @@ from .graph import connected_components
 BANDS, ROWS = 64, 7
 BLOCK = 1_000  # members of a star that are compared with each other at once
 COLUMNS_AT_ONCE = 4_096  # of the incidence table that does it
-IDS_TO_BROADCAST = 1_000_000  # 8 bytes each; more ids are joined by shuffle
+KEYS_TO_BROADCAST = 1_000_000  # 8 bytes each; more keys are joined by shuffle
 DOCUMENTS_AT_ONCE = 512  # whose signatures a task stacks
 
 
@@ -52,8 +52,9 @@ def _fingerprints(size: int):
                         pa.array([len(found) for found in sets], pa.int64()),
                         pa.array([set_digest(found) if len(found) else None for found in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        batch.column(2),
                     ],
-                    names=["id", "n_shingles", "class", "keys"],
+                    names=["id", "n_shingles", "class", "keys", "row_key"],
                 )
 
     return run
@@ -63,7 +64,7 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
-                texts = whole.column(1).slice(start, DOCUMENTS_AT_ONCE).cast(pa.binary()).to_pylist()
+                texts = whole.column(0).slice(start, DOCUMENTS_AT_ONCE).cast(pa.binary()).to_pylist()
                 sets = [found for found in (shingle_set(text, size) for text in texts) if len(found)]
                 yield pa.record_batch(
                     [pa.array([set_digest(found) for found in sets], pa.binary()),
@@ -164,17 +165,17 @@ def _compare_cells(percent: int):
     return run
 
 
-def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose id is in ``ids`` (one column, distinct); broadcast only when counted to be few."""
-    few = ids.count() <= IDS_TO_BROADCAST
-    return df.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def _only(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose row_key is in ``keys`` (one column, distinct); broadcast only when counted to be few."""
+    few = keys.count() <= KEYS_TO_BROADCAST
+    return df.join(F.broadcast(keys) if few else keys, "row_key", "left_semi")
 
 
 def _compared(candidates: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``candidates`` (a, b: classes) compared on full sets, which are made anew from the texts of those classes."""
     ends = candidates.select(F.col("a").alias("class")).unionByName(candidates.select(F.col("b").alias("class"))).distinct()
-    ids = cut_lineage(classes.select("class", "id").join(ends, "class", "left_semi").select("id").distinct())
-    sets = arrow_map(_only(texts, ids), _sets(size), "class binary, shingles binary")
+    keys = cut_lineage(classes.select("class", "row_key").join(ends, "class", "left_semi").select("row_key").distinct())
+    sets = arrow_map(_only(texts, keys).select("text"), _sets(size), "class binary, shingles binary")
     sets = cut_lineage(sets.dropDuplicates(["class"]))
     pairs = candidates.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("one")), "a")
     pairs = pairs.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("other")), "b")
@@ -197,12 +198,14 @@ def near_duplicates(
     require(docs, id_column, text_column)
     spark = docs.sparkSession
     texts = docs.select(ref(id_column).cast("long").alias("id"), ref(text_column).cast("string").alias("text"))
-    schema = "id long, n_shingles long, class binary, keys array<long>"
+    texts = texts.withColumn("row_key", F.xxhash64("id", "text"))  # finds a text again, also where the id is null
+    schema = "id long, n_shingles long, class binary, keys array<long>, row_key long"
     folder = scratch_path(spark, "near-dup")
     arrow_map(texts, _fingerprints(shingle), schema).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     rows.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("id").alias("id"), F.first("keys").alias("keys")
+        F.min("id").alias("id"), F.first("keys").alias("keys"),
+        F.min(F.struct(F.col("id").isNull(), "row_key"))["row_key"].alias("row_key"),  # of a row with an id if there is one
     ).write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
 

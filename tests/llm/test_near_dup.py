@@ -60,6 +60,17 @@ def test_families_near_the_threshold(spark, monkeypatch):
     assert found(near_duplicates(docs, shingle=2)) == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize("nameless_copies", [1, 3])
+def test_hub_with_a_null_id(spark, nameless_copies):
+    """Edits of a text that are linked through it only, while all rows of that text have a null id."""
+    base = prose(500, 150, 5_000)
+    rows = [(None, base)] * nameless_copies + [(i, edited(base, 600 + i, 7)) for i in range(12)] + [(None, prose(501, 90, 5_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute_components(rows, 2)
+    assert sum(component == 0 for _, _, component in wanted) == 12 + nameless_copies
+    assert found(near_duplicates(docs, shingle=2)) == wanted
+
+
 def test_empty_table(no_docs):
     assert near_duplicates(no_docs).collect() == []
     assert drop_near_duplicates(no_docs).collect() == []
