@@ -12,7 +12,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -30,13 +33,25 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 4_000_000  # of item texts that are sent to the tasks at once
 ALIGNMENTS_REMEMBERED = 20_000  # by a task: copies of a passage are aligned once
 
-#: Punctuation is no part of a word here: ASCII letters in lower case, other ASCII signs as spaces.
+#: Punctuation is no part of a word here: ASCII letters in lower case, other ASCII signs as spaces. Texts with other
+#: signs are case-folded by Unicode before, and Unicode punctuation, symbols, spaces and controls become spaces.
 PLAIN = bytes(
     byte + 32 if 65 <= byte <= 90 else byte if byte > 127 or 48 <= byte <= 57 or 97 <= byte <= 122 else 32 for byte in range(256)
 )
 
 
+@cache
+def _separators() -> frozenset[str]:
+    signs = map(chr, range(128, sys.maxunicode + 1))
+    return frozenset(sign for sign in signs if (kind := unicodedata.category(sign))[0] in "PSZ" or kind == "Cc")
+
+
 def plain_words(text: bytes | None) -> list[bytes]:
+    if text and not text.isascii():
+        folded = text.decode(errors="surrogateescape").casefold()
+        for sign in _separators().intersection(folded):
+            folded = folded.replace(sign, " ")
+        text = folded.encode(errors="surrogateescape")
     return text.translate(PLAIN).split() if text else []
 
 
@@ -200,7 +215,7 @@ def contaminated(
     """(id, item_id, score, first_word, last_word, n_seeds): a row for each row of ``docs`` and test item of which it
     holds a copy that scores ``least`` of the item's own alignment score or more, with the span of words it covers.
 
-    Words are letters and digits in lower case (ASCII) and any other non-ASCII signs; punctuation separates. Null and
+    Words are case-folded by Unicode; punctuation, symbols and spaces, ASCII or not, separate them. Null and
     empty texts hold nothing; items with fewer than ``LEAST_WORDS`` words are not sought. Null ids come back null;
     repeated rows and repeated items give a row each. Other columns are not read. Empty tables give an empty result.
     """

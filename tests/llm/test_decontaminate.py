@@ -43,6 +43,20 @@ def test_copies_are_found_and_clean_texts_are_not(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [5, 6, 7, 8, 10]
 
 
+def test_copies_of_accented_items_in_other_casing_and_quotes(spark):
+    french = "l'été dernier élodie préféra déjà goûter à Évian où naît l'âme légère, près d'un théâtre fermé à Noël"
+    german = "die Straße nach Süden führt über große Brücken, während müde Gäste früh schlafen und Käse für Jürgen heiß bleibt"
+    spanish = "¿cuándo volverá el niño a la montaña? mañana según él, después del café, aún quizá más allá del río pequeño"
+    items = [(i, text) for i, text in enumerate((french, german, spanish))]
+    quoted = "\u201c" + french.replace("'", "\u2019").replace(" ", "\u00a0") + "\u201d\u2026"
+    rows = [(i, prose(700 + i, 30) + " " + text.upper() + " " + prose(710 + i, 30)) for i, text in items]
+    rows += [(3, french.title()), (4, quoted), (5, prose(720, 60) + " préféra déjà Évian")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(docs, benchmark).collect()}
+    assert found == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0, (3, 0): 1.0, (4, 0): 1.0}
+    assert [r["doc_id"] for r in drop_contaminated(docs, benchmark).collect()] == [5]
+
+
 def test_brute_force_on_small_texts(spark):
     """Every pair whose plain score is half of the item's own or more, and that shares four words, is found."""
     items = [(i, prose(200 + i, 12, 30)) for i in range(4)]
