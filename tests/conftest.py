@@ -34,7 +34,3 @@ def frame(spark):
         return spark.createDataFrame(list(zip(*columns.values())), schema)
 
     return build
-
-
-def values(df, column):
-    return [row[column] for row in df.collect()]

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from conftest import values
+from frames import values
 from millrace.operators import charts, explore, insights, logs
 from millrace.operators.facts import TableFacts
 

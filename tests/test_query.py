@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from frames import values
 from millrace.operators import query
 from millrace.operators.query import QuerySpec
 
