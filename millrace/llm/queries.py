@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import contaminated
 from .mixing import mixture
 from .near_dup import near_duplicates
+from .periodic_runs import periodic_runs, with_repeats
 from .pii import pseudonymised
 from .quality_vote import quality
 from .sharding import sharded
@@ -61,6 +62,30 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of the documents, a tenth of which are made to repeat words of theirs, as digests."""
+    docs = table(spark, folder, "documents")
+    listed = docs.select("doc_id", "text", F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "").alias("words"))
+    drawn = listed.withColumns({"n": F.size("words"), "h": F.crc32(F.col("doc_id").cast("string"))}).withColumn("g", F.expr("h div 10"))
+    drawn = drawn.withColumn("a", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), (F.col("g") % F.col("n")).cast("int")))
+    drawn = drawn.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    text = F.when(F.col("a").isNull(), F.col("text")).otherwise(with_repeats(F.col("words"), F.col("a"), F.col("p")))
+    found = periodic_runs(drawn.select("doc_id", text.alias("text")))
+
+    def written(run: Column) -> Column:
+        return F.concat_ws(",", run["start"].cast("string"), run["length"].cast("string"), run["period"].cast("string"))
+
+    ordered = F.array_sort(F.transform("runs", lambda run: F.struct(run["start"], run["period"], run["length"])))
+    lines = F.transform(ordered, lambda run: F.concat(written(run), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda run: F.struct(run["length"].alias("length"), (-run["start"]).alias("start"), (-run["period"]).alias("period"))))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"), F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
@@ -72,6 +97,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
