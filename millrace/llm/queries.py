@@ -10,6 +10,7 @@ from .near_dup import near_duplicates
 from .periodic_runs import periodic_runs, with_repeats
 from .pii import pseudonymised
 from .quality_vote import quality
+from .secret_scan import BASE, secret_spans, span_text
 from .sharding import sharded
 from .token_counts import token_counts
 from .token_files import read_digests, write_token_files
@@ -86,6 +87,14 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of the documents; a document stands for a repository, and its source for the owner."""
+    found = secret_spans(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda span: span["kind"] < len(BASE))
+    counts = [F.size(F.filter("spans", lambda span, kind=kind: span["kind"] == kind)).cast("long").alias(f"n_{name}") for kind, name in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text("spans").alias("spans"), "n_live", "n_example")
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
@@ -98,6 +107,7 @@ QUERIES = {
     "op9_pseudonyms": op9_pseudonyms,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_secrets": op13_secrets,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
