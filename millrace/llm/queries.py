@@ -91,7 +91,11 @@ def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of the documents; a document stands for a repository, and its source for the owner."""
     found = secret_spans(table(spark, folder, "documents"))
     base = F.filter("spans", lambda span: span["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda span, kind=kind: span["kind"] == kind)).cast("long").alias(f"n_{name}") for kind, name in enumerate(BASE)]
+
+    def count_of(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda span: span["kind"] == kind)).cast("long")
+
+    counts = [count_of(kind).alias(f"n_{name}") for kind, name in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text("spans").alias("spans"), "n_live", "n_example")
 
 
