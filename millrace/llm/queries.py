@@ -12,6 +12,7 @@ from .pii import pseudonymised
 from .quality_vote import quality
 from .secret_scan import BASE, secret_spans, span_text
 from .sharding import sharded
+from .token_alignment import aligned
 from .token_counts import token_counts
 from .token_files import read_digests, write_token_files
 from .toxicity import toxicity
@@ -87,6 +88,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return aligned(table(spark, folder, "documents"))
+
+
 def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of the documents; a document stands for a repository, and its source for the owner."""
     found = secret_spans(table(spark, folder, "documents"))
@@ -111,6 +116,7 @@ QUERIES = {
     "op9_pseudonyms": op9_pseudonyms,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_alignment": op12_alignment,
     "op13_secrets": op13_secrets,
 }
 
