@@ -3,8 +3,9 @@
 A batch of documents is a handful of Arrow columns, and every step works on all of them at once: token ids as one list
 array for each tokenizer, flattened, with the parent of each token; byte ends as cumulative sums of token lengths that
 begin anew with each document; a hash join of the two sides on (document, end), which leaves the places where both end;
-the number of such places before a token, its group; a hash join on the group, which pairs the tokens inside it. Tokens
-of a group are counted before they are paired, so a long group of few different tokens is a few pairs.
+the number of such places before a token, its group; and the pairs of tokens in each group. Where a side has one token,
+it is paired with each of the other side. Groups with several on both sides go through a hash join on the group, with
+tokens counted first, so a long group of few different tokens is a few pairs.
 
 How many documents hold a pair is counted for each batch by ``Table.group_by``; Spark adds the batches' counts up, and
 brings the totals back to the batches that have the pair. A common pair is so one row in a batch, never one in a document.
@@ -14,10 +15,11 @@ A batch's documents and its totals meet in one task, whose size is the batch's.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,156 +31,165 @@ from pyspark.sql import DataFrame, functions as F
 from ..schema import ref, require
 from ..session import scratch_path
 from .common import arrow_map, ship
-from .pieces import ANY_PIECE
 from .token_counts import byte_letters
-from .token_files import Encoder
 
-BATCH_BYTES, BATCH_DOCUMENTS = 4 << 20, 2_000
-REMEMBERED_BYTES = 24 << 20  # of pieces by a worker and tokenizer; a full memory is emptied, results do not change
-LONG_PIECE = 64  # bytes from which a piece is not remembered
+BATCH_BYTES, BATCH_DOCUMENTS = 1 << 20, 2_000
 END_BITS = 36  # of a (document in the batch, byte) key
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
 
 
-class Memory:
-    """Ids of pieces as bytes; ``learn`` gives those of new ones."""
+class Content:
+    """The bytes of each token of a vocabulary, behind each other."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
-        self.learn, self.known, self.held = learn, {}, 0
+    def __init__(self, entries: list[bytes]):
+        self.sizes = np.array([len(entry) for entry in entries], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.all = np.frombuffer(b"".join(entries), np.uint8)
 
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        new = list({piece for pieces in texts for piece in pieces if piece not in self.known})
-        fresh = dict(zip(new, self.learn(new)))
-        known = self.known
-        found = [b"".join([known[piece] if piece in known else fresh[piece] for piece in pieces]) for pieces in texts]
-        for piece, ids in fresh.items():
-            if len(piece) < LONG_PIECE:
-                known[piece] = ids
-                self.held += 150 + len(piece) + len(ids)
-        if self.held > REMEMBERED_BYTES:
-            known.clear()
-            self.held = 0
-        return found
+    def joined(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ahead = np.cumsum(sizes) - sizes
+        return self.all[np.repeat(self.begins[ids] - ahead, sizes) + np.arange(int(sizes.sum()))].tobytes()
 
 
 class ByteLevel:
     """A space and the text, by a byte-level vocabulary; strings of special tokens are ordinary text."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path)
-        self.encoder.tokenizer.encode_special_tokens = True
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-        entries = self.encoder.tokenizer.get_vocab()
-        self.content = [b""] * (max(entries.values()) + 1)
+        special = {token["content"] for token in described["added_tokens"]}
+        entries = {bytes(byte_of[letter] for letter in entry): number for entry, number in described["model"]["vocab"].items() if entry not in special}
+        listed = [b""] * (max(entries.values()) + 1)
         for entry, number in entries.items():
-            if all(letter in byte_of for letter in entry):
-                self.content[number] = bytes(byte_of[letter] for letter in entry)
-        self.memory = Memory(lambda pieces: self.encoder._learn(pieces, ""))
+            listed[number] = entry
+        self.content = Content(listed)
+        #: ids ascend in the order of the merges, so they serve as ranks
+        self.encoding = tiktoken.Encoding("byte level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=entries, special_tokens={})
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return self.memory.ids([ANY_PIECE.findall(" " + text) for text in texts])
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [self.encoding.encode_ordinary(" " + text) for text in texts]
 
 
 class Pieces:
-    """The text by a vocabulary of pieces that puts a space before it. No piece holds a space behind another letter, so
-    words with single spaces between them are encoded one by one; any other text is encoded whole."""
+    """The text by a vocabulary of pieces that puts a space before it."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.content = []
+        listed = []
         for number in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(number)
             byte = BYTE_PIECE.fullmatch(piece) if self.model.is_byte(number) else None
-            self.content.append(bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE_MARK, " ").encode())
-        pieces = (self.model.id_to_piece(number) for number in range(self.model.get_piece_size()))
-        self.by_word = not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece in pieces)
-        self.memory = Memory(self._encode)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)] if texts else []
-
-    def _parts(self, text: str) -> list[str]:
-        if self.by_word and SPACE_MARK not in text:
-            words = text.split(" ")
-            if "" not in words:
-                return words
-        return [text]
+            listed.append(bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE_MARK, " ").encode())
+        self.content = Content(listed)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return self.memory.ids([self._parts(text) for text in texts])
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1) if texts else []
 
 
 @lru_cache(maxsize=2)
 def tokenizers_at(first: str, second: str) -> tuple[ByteLevel, Pieces]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ByteLevel(first), Pieces(second)
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(of_text) for of_text in ids], np.int64)
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+
+
+def _numbers(array: pa.Array) -> np.ndarray:
+    return array.to_numpy(zero_copy_only=False)
+
+
 class Side:
     """The tokens of one tokenizer in a batch: ids, document of each, byte end of each in its document."""
 
-    def __init__(self, ids: list[bytes], content: list[bytes]):
-        sizes = np.array([len(of_text) // 4 for of_text in ids], np.int64)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, content: Content):
         offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-        self.ids, self.document, self.sizes = lists.flatten(), pc.list_parent_indices(lists), sizes
-        lengths = pc.take(pa.array([len(entry) for entry in content], pa.int64()), self.ids)
-        upto = pc.cumulative_sum(lengths).to_numpy(zero_copy_only=False) if len(lengths) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+        self.ids, self.sizes = lists.flatten(), sizes
+        self.document = _numbers(pc.list_parent_indices(lists)).astype(np.int64)
+        upto = _numbers(pc.cumulative_sum(pc.take(pa.array(content.sizes), self.ids))) if len(ids) else np.zeros(0, np.int64)
         ahead = np.concatenate(([0], upto))[offsets[:-1]]  # of the tokens before each document's first
-        self.ends = upto - ahead[self.document.to_numpy(zero_copy_only=False)]
+        self.ends = upto - ahead[self.document]
 
     def by_end(self, place: str) -> pa.Table:
-        keys = (self.document.to_numpy(zero_copy_only=False) << END_BITS) | self.ends
-        return pa.table({"key": keys, place: np.arange(len(keys))})
+        return pa.table({"key": (self.document << END_BITS) | self.ends, place: np.arange(len(self.ends))})
 
-    def group(self, shared: np.ndarray) -> np.ndarray:
-        """The number of shared ends before each token, over the whole batch."""
+    def cut(self, shared: np.ndarray) -> None:
+        """Into groups behind the tokens at ``shared``; they are numbered over the whole batch."""
+        last = np.sort(shared)
+        self.of_group = np.concatenate(([0], last + 1)).astype(np.int32)  # the first token of each group, and the end
         flags = np.zeros(len(self.ends), np.int64)
-        flags[shared] = 1
-        return np.cumsum(flags) - flags
-
-
-def _counted(groups: np.ndarray, ids: pa.Array, name: str) -> pa.Table:
-    table = pa.table({"group": groups, name: ids, "n": pa.array(np.ones(len(ids), np.int64))})
-    return table.group_by(["group", name], use_threads=False).aggregate([("n", "sum")]).rename_columns(["group", name, f"n_{name}"])
-
-
-def _written(groups: np.ndarray, ids: pa.Array, n_groups: int) -> pa.Array:
-    """Ids of each group with commas between."""
-    offsets = np.searchsorted(groups, np.arange(n_groups + 1)).astype(np.int32)
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pc.cast(ids, pa.string())), ",")
+        flags[last] = 1
+        self.group = np.cumsum(flags) - flags
+
+    def counted(self, chosen: np.ndarray, name: str) -> pa.Table:
+        """(group, id, number) of the tokens in the groups that are chosen."""
+        inside = chosen[self.group]
+        table = pa.table({"group": self.group[inside], name: _numbers(self.ids)[inside].astype(np.int64), "n": np.ones(int(inside.sum()), np.int64)})
+        return table.group_by(["group", name], use_threads=False).aggregate([("n", "sum")]).rename_columns(["group", name, f"n_{name}"])
+
+    def written(self) -> pa.Array:
+        """Ids of each group with commas between."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(self.of_group), pc.cast(self.ids, pa.string())), ",")
+
+
+def _paired(a: Side, b: Side) -> pa.Table:
+    """(group, a, b, n): the pairs of ids in each group and how often they are linked there."""
+    ids_a, ids_b = _numbers(a.ids).astype(np.int64), _numbers(b.ids).astype(np.int64)
+    n_a, n_b = np.diff(a.of_group), np.diff(b.of_group)
+    several = (n_a > 1) & (n_b > 1)
+    alone_a, alone_b = (n_a == 1)[b.group], ((n_a > 1) & (n_b == 1))[a.group]
+    group = np.concatenate((b.group[alone_a], a.group[alone_b]))
+    one_to_one = {
+        "group": group, "a": np.concatenate((ids_a[a.of_group[b.group[alone_a]]], ids_a[alone_b])),
+        "b": np.concatenate((ids_b[alone_a], ids_b[b.of_group[a.group[alone_b]]])), "n": np.ones(len(group), np.int64),
+    }
+    met = a.counted(several, "a").join(b.counted(several, "b"), "group", join_type="inner", use_threads=False)
+    met = pa.table({"group": met["group"], "a": met["a"], "b": met["b"], "n": pc.multiply(met["n_a"], met["n_b"])})
+    return pa.concat_tables([pa.table(one_to_one), met])
 
 
 def align(texts: list[str], first: ByteLevel, second: Pieces) -> tuple[pa.Table, pa.Table, pa.Table]:
     """(documents, links, pairs) of a batch: for each text n_a, n_b, n_groups, n_links and the groups as a text; for each
-    document and pair of ids (a, b) that is linked in it the number of links; for each pair the number of documents."""
-    wanted = [(" " + text).encode("utf-8", "surrogatepass") for text in texts]
-    ids_a, ids_b = first.ids(texts), second.ids(texts)
-    for place, content in enumerate(wanted):
-        if not texts[place] or any(
-            b"".join(map(side.content.__getitem__, np.frombuffer(ids[place], "<u4").tolist())) != content for side, ids in ((first, ids_a), (second, ids_b))
-        ):
-            ids_a[place] = ids_b[place] = b""
-    a, b = Side(ids_a, first.content), Side(ids_b, second.content)
+    document and pair (its place among the pairs) that is linked in it the number of links, in the order of documents;
+    for each pair of ids (a, b) the number of documents."""
+    sides = []
+    wanted = [(" " + text).encode("utf-8", "surrogatepass") if text else b"" for text in texts]
+    good = np.array([bool(text) for text in texts], bool)
+    for tokenizer in (first, second):
+        ids, sizes = _flat(tokenizer.ids(texts))
+        cuts = np.concatenate(([0], np.cumsum(tokenizer.content.sizes[ids])))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        given = tokenizer.content.joined(ids)
+        good &= np.array([given[begin:end] == text for begin, end, text in zip(cuts, cuts[1:], wanted)], bool)
+        sides.append((ids, sizes, tokenizer.content))
+    a, b = (Side(ids[np.repeat(good, sizes)], np.where(good, sizes, 0), content) for ids, sizes, content in sides)
     ends = a.by_end("place_a").join(b.by_end("place_b"), "key", join_type="inner", use_threads=False)
-    group_a, group_b = a.group(ends["place_a"].to_numpy()), b.group(ends["place_b"].to_numpy())
-    last = np.sort(ends["place_a"].to_numpy())  # the last token of each group in turn
-    owner = a.document.to_numpy(zero_copy_only=False)[last]
+    a.cut(ends["place_a"].to_numpy())
+    b.cut(ends["place_b"].to_numpy())
+    owner = a.document[a.of_group[1:] - 1]
     n_groups = np.bincount(owner, minlength=len(texts))
-    linked = _counted(group_a, a.ids, "a").join(_counted(group_b, b.ids, "b"), "group", join_type="inner", use_threads=False)
-    document = owner[linked["group"].to_numpy()]
-    n = pc.multiply(linked["n_a"], linked["n_b"])
-    links = pa.table({"document": document, "a": linked["a"], "b": linked["b"], "n": n})
-    links = links.group_by(["document", "a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["document", "a", "b", "n"])
-    pairs = links.group_by(["a", "b"], use_threads=False).aggregate([("n", "count")]).rename_columns(["a", "b", "n_documents"])
+    paired = _paired(a, b)
+    codes = pc.dictionary_encode(pc.bit_wise_or(pc.shift_left(paired["a"], 32), paired["b"])).combine_chunks()
+    links = pa.table({"document": owner[paired["group"].to_numpy()], "pair": codes.indices, "n": paired["n"]})
+    links = links.group_by(["document", "pair"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["document", "pair", "n"])
+    links = links.take(np.argsort(links["document"].to_numpy(), kind="stable"))
+    held = links.group_by("pair", use_threads=False).aggregate([("n", "count")])
+    n_documents = np.zeros(len(codes.dictionary), np.int64)
+    n_documents[held["pair"].to_numpy()] = held["n_count"].to_numpy()
+    pair = _numbers(codes.dictionary)
+    pairs = pa.table({"a": (pair >> 32).astype(np.int32), "b": (pair & 0xFFFFFFFF).astype(np.int32), "n_documents": n_documents})
     n_links = np.zeros(len(texts), np.int64)
     np.add.at(n_links, links["document"].to_numpy(), links["n"].to_numpy())
-    of_group = pc.binary_join_element_wise(_written(group_a, a.ids, len(last)), _written(group_b, b.ids, len(last)), "|")
-    offsets = np.concatenate(([0], np.cumsum(n_groups))).astype(np.int32)
-    groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), of_group), ";")
+    of_group = pc.binary_join_element_wise(a.written(), b.written(), "|")
+    groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_groups))).astype(np.int32)), of_group), ";")
     return pa.table({"n_a": a.sizes, "n_b": b.sizes, "n_groups": n_groups, "n_links": n_links, "groups": groups}), links, pairs
 
 
@@ -211,12 +222,10 @@ def _align_batches(first: str, second: str):
         for whole in batches:
             for part in _slices(whole, 1):
                 documents, links, pairs = align([text or "" for text in part.column(1).to_pylist()], *tokenizers)
-                keyed = pairs.append_column("pair", pa.array(np.arange(pairs.num_rows), pa.int32()))
-                links = links.join(keyed.select(["a", "b", "pair"]), ["a", "b"], join_type="inner", use_threads=False).sort_by([("document", "ascending"), ("pair", "ascending")])
                 sizes = np.bincount(links["document"].to_numpy(), minlength=part.num_rows)
                 hashes = [hashlib.sha256(text.encode()).hexdigest() if text else "" for text in documents["groups"].to_pylist()]
                 columns = [documents[name].combine_chunks().cast(pa.int64()) for name in ("n_a", "n_b", "n_groups", "n_links")]
-                lists = [_nested(links["pair"].combine_chunks(), sizes), _nested(links["n"].combine_chunks().cast(pa.int64()), sizes)]
+                lists = [_nested(links["pair"].combine_chunks().cast(pa.int32()), sizes), _nested(links["n"].combine_chunks().cast(pa.int64()), sizes)]
                 of_pairs = [pairs["a"].combine_chunks(), pairs["b"].combine_chunks(), pairs["n_documents"].combine_chunks().cast(pa.int64())]
                 rows, names = part.num_rows, ["batch", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "n", "pair_a", "pair_b", "n_documents"]
                 none = [pa.nulls(rows, pa.list_(values.type)) for values in of_pairs]
