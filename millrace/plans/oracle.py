@@ -898,12 +898,17 @@ define("i4_issue_counts", f"{with_issues(DIRTY)}\nSELECT type, count(*) AS issue
 # -- sources, sinks, versions -----------------------------------------------
 
 define("s1_csv_source", "SELECT * FROM part")
+define("s1_csv_line_breaks", "SELECT * FROM documents")
+JSON_FLAT = (
+    "SELECT event_id, user_id, ts, event_type AS info_kind, round(value, 6) AS info_detail_value, "
+    "CAST(json_extract_string(props, '$.k') AS BIGINT) AS info_detail_props_k, props AS info_detail_text FROM events"
+)
+define("s2_json_flat", JSON_FLAT)
+define("s2_json_array", JSON_FLAT)
 define(
-    "s2_json_flat",
-    "SELECT event_id, event_type AS info_kind, value AS info_detail_value, "
-    "CAST(json_extract_string(props, '$.k') AS BIGINT) AS info_detail_props_k FROM events",
+    "s2b_json_nested",
+    "SELECT event_id, user_id, ts, event_type AS kind, round(value, 6) AS value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, props FROM events",
 )
-define("s2b_json_nested", "SELECT event_id, event_type AS kind, value FROM events")
 define("s3_parquet_source", "SELECT * FROM orders")
 define("s4_parquet_sink", of(DIRTY, "SELECT * FROM t"))
 define("s5_csv_sink", "SELECT * FROM events")

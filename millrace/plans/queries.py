@@ -290,9 +290,16 @@ def csv_source(df: DataFrame) -> DataFrame:
     return readers.read_csv(spark, path).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
+@registered("s1_csv_line_breaks", "documents")
+def csv_line_breaks(df: DataFrame) -> DataFrame:
+    """Texts with line breaks and quotes, in files that are read by several tasks each."""
+    path = readers.write_csv(df, scratch_path(df.sparkSession, "documents-csv"))
+    return readers.read_csv(df.sparkSession, path, schema=df.schema)
+
+
 def nested(df: DataFrame) -> DataFrame:
-    detail = F.struct(F.col("value"), F.from_json("props", "k INT").alias("props"))
-    return df.select("event_id", F.struct(F.col("event_type").alias("kind"), detail.alias("detail")).alias("info"))
+    detail = F.struct(F.col("value"), F.from_json("props", "k INT").alias("props"), F.col("props").alias("text"))
+    return df.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.struct(F.col("event_type").alias("kind"), detail.alias("detail")).alias("info"))
 
 
 def json_copy(df: DataFrame) -> str:
@@ -301,16 +308,41 @@ def json_copy(df: DataFrame) -> str:
     return path
 
 
+def json_arrays(df: DataFrame, files: int = 4) -> str:
+    """Documents of one array each, laid out over several lines."""
+    objects = nested(df).select((F.col("event_id") % files).alias("part"), F.col("event_id").alias("nth"), F.to_json(F.struct("*")).alias("text"))
+    first = objects.groupBy("part").agg(F.min("nth").alias("least"))
+    comma = F.when(F.col("nth") == F.col("least"), F.lit("")).otherwise(F.lit(","))
+    spread = F.regexp_replace(F.col("text"), r',"', ",\n  \"")
+    lines = objects.join(first, "part").select("part", F.lit(1).alias("place"), "nth", F.concat(comma, spread).alias("text"))
+    ends = first.select("part", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("[").alias("text")), F.struct(F.lit(2).alias("place"), F.lit("]").alias("text")))).alias("end"))
+    lines = lines.unionByName(ends.select("part", "end.place", F.lit(0).cast("bigint").alias("nth"), "end.text"))
+    path = scratch_path(df.sparkSession, "events-arrays")
+    lines.repartition("part").sortWithinPartitions("part", "place", "nth").select("part", "text").write.partitionBy("part").text(path)
+    return f"{path}/part=*"
+
+
+def flat_names(flat: DataFrame) -> DataFrame:
+    return flat.withColumnsRenamed({c: c.replace(".", "_") for c in flat.columns}).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @registered("s2_json_flat", "events")
 def json_flat(df: DataFrame) -> DataFrame:
-    flat = readers.read_json(df.sparkSession, json_copy(df), lines=True)
-    return flat.withColumnsRenamed({c: c.replace(".", "_") for c in flat.columns})
+    return flat_names(readers.read_json(df.sparkSession, json_copy(df), lines=True))
+
+
+@registered("s2_json_array", "events")
+def json_array(df: DataFrame) -> DataFrame:
+    return flat_names(readers.read_json(df.sparkSession, json_arrays(df)))
 
 
 @registered("s2b_json_nested", "events")
 def json_nested(df: DataFrame) -> DataFrame:
     kept = readers.read_json(df.sparkSession, json_copy(df), flat=False, lines=True)
-    return kept.select("event_id", "info.kind", "info.detail.value")
+    return kept.select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "info.kind", "info.detail.value",
+        F.col("info.detail.props.k").alias("k"), F.col("info.detail.text").alias("props"),
+    )
 
 
 @registered("s3_parquet_source", "orders")

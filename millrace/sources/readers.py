@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.schema import ref
+from millrace.sources.records import as_lines, csv_pieces, csv_records, free_separator, json_pieces, json_records
 
 # File kinds a table may come from, and how a source address is classified.
 READABLE = ("csv", "json", "parquet")
@@ -24,14 +28,37 @@ def suffix_of(path: str) -> str:
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False
 ) -> DataFrame:
-    """Header row; types inferred over the whole file unless a schema is given.
+    """Header row in each file; types inferred over the whole table unless a schema is given, which spares a reading.
 
-    Inference reads the data once more: give a schema for large files. A quoted field may
-    hold line breaks, so a file is read by one task; say ``lines`` when each record is
-    one line, and large files are split.
+    Quoted fields may hold line breaks. A file of any size is still read by many tasks: its records are told apart range
+    by range (:mod:`millrace.sources.records`), written with another separator, and read from there; rows do not keep
+    the order of the file. Say ``lines`` when each record is one line, and files are read as they are.
     """
-    reader = spark.read.option("header", True).option("multiLine", not lines).option("escape", '"')
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    if lines:
+        reader = spark.read.option("header", True).option("escape", '"')
+        return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    pieces = csv_pieces(spark, path)
+    records = csv_records(pieces)
+    is_header = (F.col("range") == 0) & (F.col("number") == 1)
+    separator = free_separator(pieces)
+    reader = spark.read.option("escape", '"').option("lineSep", separator)
+    if schema is None:
+        first_file = pieces.agg(F.min("file")).first()[0]
+        header = records.where(F.col("file") == F.lit(first_file)).where(is_header).first()
+        names = _safe_names(next(csv.reader(io.StringIO(header["record"], newline="")), [])) if header else []
+        if not names:
+            return spark.createDataFrame([], T.StructType([]))
+    path = as_lines(records.where(~is_header), separator)
+    if schema is None:
+        found = [field.dataType for field in reader.option("inferSchema", True).csv(path).schema.fields]
+        schema = T.StructType([T.StructField(name, found[i] if i < len(found) else T.StringType()) for i, name in enumerate(names)])
+    return reader.schema(schema).csv(path)
+
+
+def _safe_names(header: list[str]) -> list[str]:
+    """Column names as Spark makes them: a number behind names that repeat, one for names that are missing."""
+    lower = [name.lower() for name in header]
+    return [f"_c{i}" if not name else f"{name}{i}" if lower.count(name.lower()) > 1 else name for i, name in enumerate(header)]
 
 
 def read_json(
@@ -39,11 +66,12 @@ def read_json(
 ) -> DataFrame:
     """One JSON document per file (an array of objects, or an object), or one object per line.
 
-    ``flat`` turns nested objects into dotted columns. A document of one array cannot be
-    split, so large data should come as ``lines`` or as many files.
+    ``flat`` turns nested objects into dotted columns. A document of any size is read by many tasks: the objects of its
+    array are told apart range by range (:mod:`millrace.sources.records`), written one per line, and read from there.
     """
-    reader = spark.read.option("multiLine", not lines)
-    df = reader.schema(schema).json(path) if schema else reader.json(path)
+    if not lines:
+        path = as_lines(json_records(json_pieces(spark, path)), "\n")
+    df = spark.read.schema(schema).json(path) if schema else spark.read.json(path)
     if df.columns == ["_corrupt_record"]:
         raise ValueError("the root of a JSON table must be an array or an object")
     return flatten(df) if flat else df
