@@ -42,7 +42,7 @@ def test_csv_in_many_ranges_equals_the_multi_line_reader(small_ranges, tmp_path,
     rows = [[str(i)] + [generator.choice(FIELDS) for _ in range(3)] for i in range(60)]
     path = written(tmp_path / "t.csv", rows, end)
     records = csv_records(csv_pieces(small_ranges, path)).collect()
-    assert len({row["range"] for row in records}) > 5
+    assert len({row["range"] for row in records}) > 3
     assert sorted(next(csv.reader(io.StringIO(row["record"], newline=""))) for row in records) == sorted([["id", "b", "c", "d"], *rows])
     plain = small_ranges.read.option("header", True).option("escape", '"').option("multiLine", True)
     mine = read_csv(small_ranges, path)
@@ -97,7 +97,7 @@ def test_json_arrays_in_many_ranges(small_ranges, tmp_path, layout):
     path = tmp_path / "t.json"
     path.write_text(json.dumps(objects, **layout) + "\n")
     records = json_records(json_pieces(small_ranges, str(path))).collect()
-    assert len({row["range"] for row in records}) > 5
+    assert len({row["range"] for row in records}) > 3
     assert sorted((json.loads(row["record"]) for row in records), key=lambda found: found["i"]) == objects
     mine, one_task = read_json(small_ranges, str(path), flat=False), small_ranges.read.option("multiLine", True).json(str(path))
     assert mine.schema == one_task.schema and sorted(map(str, mine.collect())) == sorted(map(str, one_task.collect()))
