@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions import as_number, as_timestamp, is_email, present
+from millrace.functions import as_number, as_timestamp, is_email, order_votes, present
 from millrace.functions.values import row_digest, text_key
 from millrace.operators.selection import Span, quantiles, stacked
 from millrace.schema import NUMERIC, OTHER, TEXT, kinds, ref
@@ -42,6 +42,7 @@ class TextShares:
     at_signs: int
     emails: int
     padded: bool
+    day_first: bool | None = False
 
 
 @dataclass(frozen=True)
@@ -241,7 +242,8 @@ class TableFacts:
 
     @cached_property
     def text_shares(self) -> dict[str, TextShares]:
-        """How many filled cells of each text column read as number, date or e-mail address."""
+        """How many filled cells of each text column read as number, date or e-mail address. Dates are read in the order
+        of day and month that the column's unambiguous cells choose."""
         if not self.text:
             return {}
         cells = [F.struct(F.lit(i).alias("position"), ref(name).alias("value")) for i, name in enumerate(self.text)]
@@ -257,10 +259,14 @@ class TableFacts:
                 F.count_if(value.contains("@")).alias("at_signs"),
                 F.count_if(is_email(value)).alias("emails"),
                 (F.count_if(padded) > 0).alias("padded"),
+                *[votes.alias(name) for name, votes in order_votes(value).items()],
             )
             .collect()
         )
-        found = {self.text[r["position"]]: TextShares(*r[1:]) for r in rows}
+        found = {}
+        for r in rows:
+            more = max(r["only_day"] - r["only_month"], 0)
+            found[self.text[r["position"]]] = TextShares(r["numbers"], r["dates"] + more, r["at_signs"], r["emails"], r["padded"], more > 0)
         return {c: found.get(c, TextShares(0, 0, 0, 0, False)) for c in self.text}
 
     @cached_property

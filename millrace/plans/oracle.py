@@ -27,6 +27,9 @@ SHAPES = {
         "o_orderkey": N, "o_totalprice": N, "customer_text": T, "mostly_number": T, "partly_number": T, "mostly_date": T,
         "us_date": T,
     },
+    "dated_orders": {
+        "o_orderkey": N, "day_first": T, "month_first": T, "dotted": T, "with_time": T, "mostly_day_first": T, "either_order": T,
+    },
     "sparse_orders": {
         "o_orderkey": N, "empty_note": T, "rare_price": N, "fixed": T, "price": N, "priority": T, "padded_status": T,
         "customer_text": T, "date_text": T,
@@ -62,12 +65,14 @@ def stripped(column: str) -> str:
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PARSED_DATE = (
     "coalesce(CASE WHEN regexp_full_match({c}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({c} AS TIMESTAMP) END, "
-    "try_strptime({c}, '%m/%d/%Y'))"
+    "try_strptime({c}, [{layouts}]))"
 )
+SEPARATED = [f"{{0}}{mark}{{1}}{mark}%Y{time}" for mark in "/.-" for time in ("", " %H:%M")]
 
 
-def parsed_date(column: str) -> str:
-    return PARSED_DATE.format(c=column)
+def parsed_date(column: str, *order: str) -> str:
+    layouts = ", ".join(f"'{layout.format(*(order or ('%m', '%d')))}'" for layout in SEPARATED)
+    return PARSED_DATE.format(c=column, layouts=layouts)
 
 
 # -- column facts -----------------------------------------------------------
@@ -93,7 +98,7 @@ def column_facts(view: str, names: dict[str, str] | None = None) -> str:
             "kurt": f"kurtosis({value})" if numeric else "NULL::DOUBLE",
             "pop_kurt": f"kurtosis_pop({value})" if numeric else "NULL::DOUBLE",
             "numbers": f"count(try_cast({c} AS DOUBLE))" if text else "NULL::BIGINT",
-            "dates": f"count({parsed_date(c)})" if text else "NULL::BIGINT",
+            "dates": f"greatest(count({parsed_date(c)}), count({parsed_date(c, '%d', '%m')}))" if text else "NULL::BIGINT",
             "at_signs": f"count(CASE WHEN contains({c}, '@') THEN 1 END)" if text else "NULL::BIGINT",
             "emails": f"count(CASE WHEN regexp_matches({c}, '{EMAIL}') THEN 1 END)" if text else "NULL::BIGINT",
             "padded": f"coalesce(bool_or({c} LIKE ' %' OR {c} LIKE '% '), false)" if text else "false",
@@ -412,6 +417,7 @@ define("k4_outliers_lineitem", one_check("lineitem", "outliers"))
 define("k4_outliers_documents", one_check("documents", "outliers"))
 define("k5_text_is_numeric", one_check("order_texts", "type_mismatch", "target = 'numeric'"))
 define("k6_text_is_datetime", one_check("order_texts", "type_mismatch", "target = 'datetime'"))
+define("k6_date_layouts", one_check("dated_orders", "type_mismatch"))
 define("k7_constant", one_check("dirty_events", "constant_column"))
 define("k8_invalid_emails", one_check("dirty_events", "invalid_emails"))
 define("k9_report", f"{with_issues('dirty_events')}\nSELECT * FROM issues")
@@ -475,6 +481,7 @@ define("k11_duplicates", hygiene_check("repeated_events", "duplicates"))
 define("k12_whitespace", hygiene_check("dirty_events", "whitespace"))
 define("k13_looks_numeric", hygiene_check("order_texts", "numeric"))
 define("k14_looks_like_date", hygiene_check("order_texts", "date"))
+define("k14_date_layouts", hygiene_check("dated_orders", "date"))
 define("k15_constant_or_empty", hygiene_check("sparse_orders", "constant"))
 define("k16_all_null", hygiene_check("sparse_orders", "empty"))
 define("k17_messy_names", hygiene_check("sparse_orders", "names", MESSY))
@@ -609,6 +616,14 @@ define(
     "c12_cast_legacy",
     replaced("order_texts", partly_number="try_cast(partly_number AS BIGINT)", us_date="strptime(us_date, '%m/%d/%Y')"),
 )
+DATES_READ = replaced(
+    "dated_orders", day_first="strptime(day_first, '%d/%m/%Y')", month_first="strptime(month_first, '%m/%d/%Y')",
+    dotted="strptime(dotted, '%d.%m.%Y')", with_time="strptime(with_time, '%d-%m-%Y %H:%M')",
+    mostly_day_first="try_strptime(mostly_day_first, '%d/%m/%Y')", either_order="strptime(either_order, '%m/%d/%Y')",
+)
+define("c11_date_layouts", DATES_READ)
+define("c12_date_layouts", DATES_READ)
+define("c26_date_layouts", DATES_READ)
 define(
     "c13_emails",
     of(

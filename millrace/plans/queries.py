@@ -115,6 +115,7 @@ on_facts("k4_outliers_lineitem", "lineitem", quality.outliers)
 on_facts("k4_outliers_documents", "documents", quality.outliers)
 on_facts("k5_text_is_numeric", "order_texts", lambda facts: quality.type_mismatches(facts).where("target = 'numeric'"))
 on_facts("k6_text_is_datetime", "order_texts", lambda facts: quality.type_mismatches(facts).where("target = 'datetime'"))
+on_facts("k6_date_layouts", "dated_orders", quality.type_mismatches)
 on_facts("k7_constant", "dirty_events", quality.constant_columns)
 on_facts("k8_invalid_emails", "dirty_events", quality.invalid_emails)
 on_facts("k9_report", "dirty_events", quality.quality_report)
@@ -125,6 +126,7 @@ on_facts("k11_duplicates", "repeated_events", hygiene.duplicates)
 on_facts("k12_whitespace", "dirty_events", hygiene.whitespace)
 on_facts("k13_looks_numeric", "order_texts", hygiene.looks_numeric)
 on_facts("k14_looks_like_date", "order_texts", hygiene.looks_like_date)
+on_facts("k14_date_layouts", "dated_orders", hygiene.looks_like_date)
 on_facts("k15_constant_or_empty", "sparse_orders", hygiene.constant_or_empty)
 on_facts("k16_all_null", "sparse_orders", hygiene.all_null)
 
@@ -192,6 +194,9 @@ cleaned("c9_frequency", "dirty_events", Step("frequency_encoding", "event_type")
 cleaned("c9_frequency_texts", "documents", Step("frequency_encoding", "text"))
 cleaned("c10_cast_numeric", "order_texts", Step("cast_numeric", "mostly_number"), Step("cast_numeric", "partly_number"))
 cleaned("c11_cast_datetime", "order_texts", Step("cast_datetime", "mostly_date"), Step("cast_datetime", "us_date"))
+DATED = ("day_first", "month_first", "dotted", "with_time", "mostly_day_first", "either_order")
+cleaned("c11_date_layouts", "dated_orders", *[Step("cast_datetime", name) for name in DATED])
+cleaned("c12_date_layouts", "dated_orders", *[Step("cast_datatype", name, reason="reads as datetime") for name in DATED])
 cleaned(
     "c12_cast_legacy", "order_texts",
     Step("cast_datatype", "partly_number", reason="reads as numeric"), Step("cast_datatype", "us_date"),
@@ -225,6 +230,7 @@ option("c23_drop_duplicates", "repeated_lines", drop_duplicates=True)
 option("c24_strip", "sparse_orders", strip_whitespace=True)
 option("c25_convert_numeric", "sparse_orders", convert_numeric=True)
 option("c26_parse_dates", "sparse_orders", parse_dates=True)
+option("c26_date_layouts", "dated_orders", parse_dates=True)
 option("c27_fill_numeric", "sparse_orders", fill_missing_numeric=True)
 option("c28_fill_text", "sparse_orders", fill_missing_categorical=True)
 on("c29_column_names", "sparse_orders", lambda df: options.clean(messy(df), options.Options(standardise_col_names=True))[0])

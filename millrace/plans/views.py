@@ -73,6 +73,18 @@ VIEWS = {
           CAST(CAST(o_orderdate AS DATE) AS STRING) AS date_text
         FROM {orders}
     """,
+    # One date in the layouts people write it in.
+    "dated_orders": """
+        SELECT o_orderkey,
+          d || '/' || m || '/' || y AS day_first,
+          m || '/' || d || '/' || y AS month_first,
+          d || '.' || m || '.' || y AS dotted,
+          d || '-' || m || '-' || y || ' 08:15' AS with_time,
+          CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'later' ELSE d || '/' || m || '/' || y END AS mostly_day_first,
+          CASE WHEN d <= '12' THEN d || '/' || m || '/' || y END AS either_order
+        FROM (SELECT *, substr(day, 1, 4) AS y, substr(day, 6, 2) AS m, substr(day, 9, 2) AS d
+              FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM {orders}) a) b
+    """,
     # Datasets in chains of eight versions, each the child of the one before.
     "versions": """
         SELECT o_orderkey AS dataset_id, o_custkey AS user_id,
