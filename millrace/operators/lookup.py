@@ -50,3 +50,17 @@ def replace_by_figure(
     cold = keyed.where(~F.col("__absent")).join(keys_only, "__key", "left_anti")
     rest = table.select(F.col("key").alias("__key"), F.col("figure").alias("__figure"))
     return finished(hot).unionByName(finished(cold.join(rest, "__key", "left")))
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, in which ``key`` is unique; null where it has none (a left join).
+
+    Keys that hold more than a ten-thousandth of all rows, of which there cannot be more than ten thousand, are looked up
+    by broadcast, so no key of the rows joined by shuffle is hot. ``rows`` is read several times: give a table at rest.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__rows"))
+    hot_keys = counts.where(F.col("__rows") > rows.count() / BROADCAST_VALUES).select(key)
+    hot = table.join(F.broadcast(hot_keys), key, "left_semi")
+    found = rows.join(F.broadcast(hot_keys), key, "left_semi").join(F.broadcast(hot), key, "left")
+    others = rows.join(F.broadcast(hot_keys), key, "left_anti").join(table, key, "left")
+    return found.unionByName(others)

@@ -965,6 +965,38 @@ define(
     "s12_latest_records",
     "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) WHERE nth = 1",
 )
+NUMBERED = f"WITH t AS ({plain('versions')}), n AS (SELECT *, row_number() OVER (ORDER BY dataset_id) AS place FROM t), owner AS (SELECT min(user_id) AS least FROM t)"
+TEXT_IDS = "CAST(dataset_id AS VARCHAR) AS dataset_id, CAST(user_id AS VARCHAR) AS user_id"
+define(
+    "s12_by_owner",
+    f"{NUMBERED} SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, dataset_version, upload_timestamp FROM n, owner WHERE user_id = least",
+)
+define(
+    "s12_updated",
+    f"{NUMBERED} SELECT {TEXT_IDS}, CAST(CASE WHEN place = 1 THEN 99 ELSE dataset_version END AS INT) AS dataset_version, "
+    "CASE WHEN place <= 2 THEN 'archived' END AS status, CAST(CASE place WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS revision FROM n",
+)
+define(
+    "s12_deleted",
+    f"{NUMBERED} SELECT {TEXT_IDS}, dataset_version, CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS revision FROM n, owner WHERE place > 3 AND user_id <> least",
+)
+define(
+    "s13_lineage_forest",
+    f"""WITH RECURSIVE t AS ({plain('version_forest')}),
+    walk(dataset_id, root, generation) AS (
+      SELECT dataset_id, dataset_id, CAST(0 AS BIGINT) FROM t WHERE parent_dataset_id IS NULL OR parent_dataset_id NOT IN (SELECT dataset_id FROM t)
+      UNION ALL SELECT t.dataset_id, walk.root, walk.generation + 1 FROM t JOIN walk ON t.parent_dataset_id = walk.dataset_id)
+    SELECT * FROM walk""",
+)
+PLANS = "WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events)"
+define("s14_latest", f"{PLANS} SELECT user_id, event_type, event_id, ts FROM p WHERE nth = 1")
+define("s14_counts", "SELECT user_id, event_type, CAST(least(count(*), 10) AS BIGINT) AS plans FROM events GROUP BY ALL")
+define(
+    "s14_by_id",
+    f"{PLANS} SELECT user_id, event_type, event_id, CAST(nth AS INT) AS nth FROM p "
+    "WHERE event_id = (SELECT event_id FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 1)",
+)
+define("s14_purged", f"{PLANS} SELECT user_id, event_type, event_id, ts, round(value, 6) AS value FROM p WHERE nth <= 10 AND event_type <> 'error'")
 LINEAGE = f"""WITH RECURSIVE t AS ({plain('versions')}),
     chain(id, parent, steps) AS (
       SELECT dataset_id, parent_dataset_id, 0 FROM t WHERE dataset_id = (SELECT max(dataset_id) FROM t)

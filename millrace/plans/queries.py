@@ -397,6 +397,47 @@ def latest(df: DataFrame) -> DataFrame:
     return registry.latest_records(df.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
+def loaded(df: DataFrame) -> registry.DatasetRegistry:
+    books = registry.DatasetRegistry(df.sparkSession, scratch_path(df.sparkSession, "registry"))
+    books.load(df)
+    return books
+
+
+RECORD = ("dataset_id", "user_id", "dataset_version", "status", "revision")
+
+
+@registered("s12_by_owner", "versions")
+def by_owner(df: DataFrame) -> DataFrame:
+    """The datasets of the smallest owner."""
+    owner = df.agg(F.min("user_id")).first()[0]
+    return loaded(df).of_user(str(owner)).select("dataset_id", "dataset_version", "upload_timestamp")
+
+
+def first_ids(df: DataFrame, n: int) -> list[str]:
+    return [str(row["dataset_id"]) for row in df.orderBy("dataset_id").limit(n).collect()]
+
+
+@registered("s12_updated", "versions")
+def updated(df: DataFrame) -> DataFrame:
+    """Two changes of one dataset and one of another, with a snapshot between."""
+    books, (one, other) = loaded(df), first_ids(df, 2)
+    books.update(one, status="archived")
+    books.fold()
+    books.update(one, dataset_version=99)
+    books.update(other, status="archived")
+    return books.records().select(*RECORD)
+
+
+@registered("s12_deleted", "versions")
+def deleted(df: DataFrame) -> DataFrame:
+    """All datasets of the smallest owner and three others are gone."""
+    books = loaded(df)
+    for dataset in first_ids(df, 3):
+        books.delete(dataset)
+    books.delete_all(str(df.agg(F.min("user_id")).first()[0]))
+    return books.records().select(*RECORD)
+
+
 @registered("s13_lineage", "versions")
 def newest_lineage(df: DataFrame) -> DataFrame:
     newest = df.agg(F.max("dataset_id")).first()[0]
@@ -404,6 +445,7 @@ def newest_lineage(df: DataFrame) -> DataFrame:
 
 
 on("s13_lineage_roots", "versions", registry.lineage_roots)
+on("s13_lineage_forest", "version_forest", registry.lineage_roots)
 
 
 @registered("s14_plan_history", "events")
@@ -411,6 +453,25 @@ def history(df: DataFrame) -> DataFrame:
     return registry.plan_history(df, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "nth")
 
 
+PLAN_OWNER = ["user_id", "event_type"]
+on("s14_latest", "events", lambda df: registry.latest_plans(df, PLAN_OWNER, "ts", "event_id").select(*PLAN_OWNER, "event_id", "ts"))
+on("s14_counts", "events", lambda df: registry.plan_counts(df, PLAN_OWNER))
+
+
+@registered("s14_by_id", "events")
+def plan_of_id(df: DataFrame) -> DataFrame:
+    newest = registry.latest_plans(df.where("user_id = 7"), ["user_id"], "ts", "event_id").first()["event_id"]
+    return registry.plan_by_id(df, PLAN_OWNER, "ts", "event_id", newest).select(*PLAN_OWNER, "event_id", "nth")
+
+
+@registered("s14_purged", "events")
+def purged(df: DataFrame) -> DataFrame:
+    """What is left when old plans are evicted and some owners' plans are deleted."""
+    plans = df.select(*PLAN_OWNER, "event_id", "ts", "value")
+    kept = registry.purged(plans, registry.evicted_plans(plans, PLAN_OWNER, "ts", "event_id"))
+    return registry.purged(kept, plans.where("event_type = 'error'").select(*PLAN_OWNER).distinct())
+
+
 on(
     "s15_listing", "versions",
     lambda df: registry.newest_first(df, "upload_timestamp", "dataset_id").select("dataset_id", "dataset_version"),

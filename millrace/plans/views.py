@@ -93,6 +93,16 @@ VIEWS = {
           o_orderdate AS upload_timestamp
         FROM {orders}
     """,
+    # A third of all datasets hang on one version, others on those, on their neighbour, or on a version that is gone.
+    "version_forest": """
+        SELECT o_orderkey AS dataset_id,
+          CASE WHEN o_orderkey = 0 THEN NULL
+               WHEN o_orderkey % 3 = 0 THEN 0
+               WHEN o_orderkey % 97 = 1 THEN -o_orderkey
+               WHEN o_orderkey % 8 = 0 THEN NULL
+               ELSE o_orderkey - 1 END AS parent_dataset_id
+        FROM {orders}
+    """,
     "imports": """
         SELECT page_id,
           replace(url, 'example.com',

@@ -84,10 +84,15 @@ def clean_version(
 
 
 def restore(registry: DatasetRegistry, dataset_id: str) -> DataFrame:
-    """The original table of a dataset: the first version of its lineage, which nothing overwrites."""
+    """The original table of a dataset: the first version of its lineage, which nothing overwrites.
+
+    A lineage whose oldest record names a parent has lost its original; what is left is no substitute for it.
+    """
     root = registry.lineage(dataset_id).where(F.col("nth") == 1).first()
     if root is None:
         raise KeyError(dataset_id)
+    if root["parent_dataset_id"] is not None:
+        raise LookupError(f"the original of {dataset_id} is gone")
     return read_parquet(registry.spark, root["parquet_path"])
 
 

@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,84 @@ def test_registry_records(spark, tmp_path):
     assert books.delete_all("u") == 1 and books.records().count() == 1
 
 
+def test_two_writers_lose_no_change(spark, tmp_path):
+    one, other = (registry.DatasetRegistry(spark, str(tmp_path / "books")) for _ in range(2))
+    made = one.create({"user_id": "u", "dataset_name": "n", "row_count": 0})
+    name = made["dataset_id"]
+    with pytest.raises(ValueError):
+        other.create({"dataset_id": name})
+    commit, raced = one._commit, []
+
+    def late(record):
+        """Another writer commits between this one's reading and its commit, once."""
+        if not raced:
+            raced.append(other.update(name, dataset_name="theirs")["revision"])
+        return commit(record)
+
+    one._commit = late
+    assert one.update(name, row_count=5)["revision"] == 2 and raced == [1]
+    now = other.get(name)
+    assert (now["dataset_name"], now["row_count"], now["revision"]) == ("theirs", 5, 2)
+    assert one.log().count() == 3
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    books = registry.DatasetRegistry(spark, str(tmp_path / "books"))
+    name = books.create({"user_id": "u", "column_count": 0})["dataset_id"]
+    fields = ["dataset_name", "source", "status", "source_url"]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda field: registry.DatasetRegistry(spark, books.path).update(name, **{field: "x"}), fields))
+    now = books.get(name)
+    assert [now[field] for field in fields] == ["x"] * 4 and now["revision"] == 4
+
+
+def test_snapshots_and_tombstones(spark, tmp_path):
+    books = registry.DatasetRegistry(spark, str(tmp_path / "books"))
+    assert books.records().count() == 0
+    names = [books.create({"user_id": "u", "dataset_name": str(i), "dataset_id": f"a/{i} b"})["dataset_id"] for i in range(3)]
+    books.delete(names[0])
+    assert books.fold() == 1 and books.records().count() == 2
+    assert books.get(names[0]) is None and books.get(names[1])["dataset_name"] == "1"
+    books.update(names[1], dataset_name="new")
+    assert books.fold() == 2 and books.get(names[1])["dataset_name"] == "new" and books.records().count() == 2
+    with pytest.raises(KeyError):
+        books.update(names[0], dataset_name="back")
+    with pytest.raises(ValueError):
+        books.load(books.records())
+
+
+def test_restore_without_the_original(spark, frame, tmp_path):
+    books = registry.DatasetRegistry(spark, str(tmp_path / "registry"))
+    first = versions.register(books, frame("A bigint", A=[1, 1, 2]), str(tmp_path / "table.parquet"), "u1", "table.csv")
+    second = versions.clean_version(books, first["dataset_id"], [Step("remove_duplicates")]).record
+    assert versions.restore(books, second["dataset_id"]).count() == 3
+    books.delete(first["dataset_id"])
+    with pytest.raises(LookupError):
+        versions.restore(books, second["dataset_id"])
+
+
+@pytest.mark.parametrize("length", [1, 2, 7])
+def test_circles_are_errors(spark, length):
+    ring = spark.range(length + 5).selectExpr("id AS dataset_id", f"CASE WHEN id < {length} THEN (id + 1) % {length} WHEN id > {length} THEN id - 1 END AS parent_dataset_id")
+    with pytest.raises(ValueError):
+        registry.lineage_roots(ring)
+    with pytest.raises(ValueError):
+        registry.lineage(ring, 0)
+    assert [row["dataset_id"] for row in registry.lineage(ring, length + 2).collect()] == [length, length + 1, length + 2]
+
+
+def test_plan_operations(spark):
+    plans = spark.range(25).selectExpr("id % 2 AS user", "id AS plan", "timestamp_seconds(id) AS at")
+    assert [tuple(r)[1] for r in registry.latest_plans(plans, ["user"], "at", "plan").orderBy("user").collect()] == [24, 23]
+    assert sorted(map(tuple, registry.plan_counts(plans, ["user"]).collect())) == [(0, 10), (1, 10)]
+    assert registry.plan_by_id(plans, ["user"], "at", "plan", 23).first()["nth"] == 1
+    assert registry.plan_by_id(plans, ["user"], "at", "plan", 1).count() == registry.plan_by_id(plans, ["user"], "at", "plan", 99).count() == 0
+    gone = registry.evicted_plans(plans, ["user"], "at", "plan")
+    assert sorted(r["plan"] for r in gone.collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r["plan"] for r in registry.purged(plans, gone).collect()) == list(range(5, 25))
+    assert {r["user"] for r in registry.purged(plans, gone.where("user = 0").select("user").distinct()).collect()} == {1}
+
+
 def test_plan_history(spark):
     plans = spark.range(25).selectExpr("'u' AS user", "id AS plan", "timestamp_seconds(id) AS at")
     kept = registry.plan_history(plans, ["user"], "at", "plan").orderBy("nth").collect()
