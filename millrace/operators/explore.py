@@ -209,15 +209,8 @@ def patterns(facts: TableFacts) -> DataFrame:
         F.lit("correlation").alias("type"), "first", "second",
         F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"), "r",
     )
-    sentence = F.when(
-        F.col("type") == "distribution",
-        F.concat(
-            F.col("first"), F.lit(" has mean="), number_text(F.col("mean")), F.lit(", std="), number_text(F.col("std"))
-        ),
-    ).otherwise(
-        F.concat(
-            F.col("first"), F.lit(" and "), F.col("second"), F.lit(" have "), strength(F.col("r")),
-            F.lit(" correlation ("), number_text(F.col("r"), 3), F.lit(")"),
-        )
-    )
+    shape = F.concat("first", F.lit(": average "), number_text(F.col("mean")), F.lit(", spread "), number_text(F.col("std")))
+    direction = F.when(F.col("r") > 0, " rise together, r = ").otherwise(" run against each other, r = ")
+    link = F.concat("first", F.lit(" and "), "second", direction, number_text(F.col("r"), 3))
+    sentence = F.when(F.col("type") == "distribution", shape).otherwise(link)
     return shapes.unionByName(links).withColumn("summary", sentence)

@@ -92,23 +92,23 @@ def cleaning_report(facts: TableFacts) -> DataFrame:
 
 
 def suggestion() -> Column:
-    name = F.concat(F.lit("'"), F.col("column"), F.lit("'"))
-    by_type = {
-        "duplicate_rows": F.concat(F.lit("Remove "), F.col("count"), F.lit(" duplicate rows")),
-        "whitespace": F.concat(F.lit("Strip whitespace from "), name),
-        "wrong_dtype_numeric": F.concat(F.lit("Convert "), name, F.lit(" to numeric")),
-        "wrong_dtype_datetime": F.concat(F.lit("Parse "), name, F.lit(" as datetime")),
-        "constant_column": F.concat(F.lit("Consider dropping "), name),
-        "all_null_column": F.concat(F.lit("Drop "), name),
-        "messy_column_names": F.lit("Standardise column names"),
+    """What to do about a finding, with its figures."""
+    column, kind = F.col("column"), F.col("type")
+    share = number_text(F.col("percentage"), 1)
+    told = {
+        "duplicate_rows": F.concat(F.lit("keep one of each repeated row: "), F.col("count"), F.lit(" go")),
+        "whitespace": F.concat(column, F.lit(": trim blanks at the ends")),
+        "wrong_dtype_numeric": F.concat(column, F.lit(": numbers held as text, make them numbers")),
+        "wrong_dtype_datetime": F.concat(column, F.lit(": dates held as text, make them times")),
+        "constant_column": F.concat(column, F.lit(": the same in every row, leave it out")),
+        "all_null_column": F.concat(column, F.lit(": empty, leave it out")),
+        "messy_column_names": F.lit("names: lower case and underscores only"),
     }
-    kind = F.col("type")
-    text = F.when(
-        (kind == "missing_values") & (F.col("percentage") > DROP_MISSING),
-        F.concat(F.lit("Drop "), name, F.lit(": "), number_text(F.col("percentage"), 1), F.lit("% missing")),
-    ).when(kind == "missing_values", F.concat(F.lit("Fill missing values in "), name))
-    for issue_type, sentence in by_type.items():
-        text = text.when(kind == issue_type, sentence)
+    mostly_empty = F.concat(column, F.lit(": "), share, F.lit("% of the cells are empty, leave it out"))
+    some_empty = F.concat(column, F.lit(": "), share, F.lit("% of the cells are empty, give them a value"))
+    text = F.when(kind == "missing_values", F.when(F.col("percentage") > DROP_MISSING, mostly_empty).otherwise(some_empty))
+    for finding, sentence in told.items():
+        text = text.when(kind == finding, sentence)
     return text
 
 

@@ -426,16 +426,16 @@ define("k9_report_repeats", f"{with_issues('repeated_lines')}\nSELECT * FROM iss
 MESSY = {"o_orderkey": "Order Key", "rare_price": "Rare-Price", "fixed": "FIXED"}
 HYGIENE_SUGGESTION = {
     "missing_values": (
-        "CASE WHEN percentage > 50 THEN 'Drop ''' || \"column\" || ''': ' || percentage || '% missing' "
-        "ELSE 'Fill missing values in ''' || \"column\" || '''' END"
+        "\"column\" || ': ' || percentage || '% of the cells are empty, ' || "
+        "CASE WHEN percentage > 50 THEN 'leave it out' ELSE 'give them a value' END"
     ),
-    "duplicate_rows": "'Remove ' || count || ' duplicate rows'",
-    "whitespace": "'Strip whitespace from ''' || \"column\" || ''''",
-    "wrong_dtype_numeric": "'Convert ''' || \"column\" || ''' to numeric'",
-    "wrong_dtype_datetime": "'Parse ''' || \"column\" || ''' as datetime'",
-    "constant_column": "'Consider dropping ''' || \"column\" || ''''",
-    "all_null_column": "'Drop ''' || \"column\" || ''''",
-    "messy_column_names": "'Standardise column names'",
+    "duplicate_rows": "'keep one of each repeated row: ' || count || ' go'",
+    "whitespace": "\"column\" || ': trim blanks at the ends'",
+    "wrong_dtype_numeric": "\"column\" || ': numbers held as text, make them numbers'",
+    "wrong_dtype_datetime": "\"column\" || ': dates held as text, make them times'",
+    "constant_column": "\"column\" || ': the same in every row, leave it out'",
+    "all_null_column": "\"column\" || ': empty, leave it out'",
+    "messy_column_names": "'names: lower case and underscores only'",
 }
 
 
@@ -751,11 +751,11 @@ define(
         " UNION ALL ".join(
             [
                 f"SELECT 'distribution' AS type, '{c}' AS first, NULL AS second, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
-                "NULL::DOUBLE AS r FROM t"
+                f"NULL::DOUBLE AS r, '{c}: average ' || round(avg({c}), 2) || ', spread ' || round(stddev_samp({c}), 2) AS summary FROM t"
                 for c in FIRST_NUMBERS[:5]
             ]
             + [
-                f"SELECT 'correlation', '{a}', '{b}', NULL, NULL, round(r, 6) FROM (SELECT corr({a}, {b}) AS r FROM t) WHERE abs(r) > 0.5"
+                f"SELECT 'correlation', '{a}', '{b}', NULL, NULL, round(r, 6), '{a} and {b} ' || CASE WHEN r > 0 THEN 'rise together' ELSE 'run against each other' END || ', r = ' || round(r, 3) FROM (SELECT corr({a}, {b}) AS r FROM t) WHERE abs(r) > 0.5"
                 for i, a in enumerate(FIRST_NUMBERS[:3]) for b in FIRST_NUMBERS[i + 1 : 4]
             ]
         ),

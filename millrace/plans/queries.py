@@ -249,7 +249,7 @@ on("t2_trend_ties", "orders", lambda df: explore.trend(df, "o_orderdate", "o_tot
 on_facts("t3_distribution", "dirty_events", explore.distribution)
 on("t4_correlation_matrix", "lineitem", explore.correlation_matrix)
 on("t5_outlier_rows", "events", lambda df: explore.outlier_rows(df, "value"))
-on_facts("t6_patterns", "dirty_events", lambda facts: explore.patterns(facts).drop("summary"))
+on_facts("t6_patterns", "dirty_events", explore.patterns)
 on("t7_intents", "questions", lambda df: logs.tag_intents(df, "text").select("conv_id", "turn", "intent"))
 on("t8_guardrails", "questions", lambda df: logs.scan_guardrails(df, "text").select("conv_id", "turn", "reason", "allowed"))
 on("t8_guardrails_documents", "documents", lambda df: logs.scan_guardrails(df, "text").select("doc_id", "reason", "allowed"))

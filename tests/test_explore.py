@@ -70,7 +70,7 @@ def test_patterns(spark):
     rows = explore.patterns(TableFacts(df)).collect()
     assert [r["first"] for r in rows if r["type"] == "distribution"] == ["a", "b", "c"]
     assert [(r["first"], r["second"]) for r in rows if r["type"] == "correlation"] == [("a", "b")]
-    assert any("strong correlation (1.0)" in r["summary"] for r in rows)
+    assert any("rise together, r = 1.0" in r["summary"] for r in rows)
 
 
 def test_outlier_rows(frame):
