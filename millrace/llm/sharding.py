@@ -1,25 +1,36 @@
 """Shards of even size that keep linked documents together, by balanced label propagation.
 
-Documents with equal texts start in one shard, drawn from a hash of the text, so no group of copies begins divided. In each round every document looks at its neighbours'
-shards (a join of links and labels) and proposes to move where most of them are. A shard takes movers only up to its
-free capacity: movers are counted by hash range, and ranges are let in as long as they fit. Then the labels are
-settled: documents in the order of label, link group and hash are cut into equal stretches of bytes, so sizes differ
-by less than one document while only groups that lie on a cut are divided.
+Every document starts in a shard drawn from a hash of its row, so groups begin scattered. In each round documents look at
+their neighbours' shards (joins of links and labels) and propose to move where most of their neighbours' weight is. A
+shard takes movers only up to its free capacity: movers are counted by hash range, and ranges are let in as long as they
+fit. Rounds go on until the weight of the cut links hardly falls any more. Equal texts are linked as a tree: documents to the
+smallest one of their text and hash bucket, these to the smallest one of the text, so no node has many links.
 
-Every step is a join or aggregation over slim rows; quotas and offsets are tables of shards times ranges.
+Then the labels are settled, so that bytes are even and no group of equal texts that fits into a shard is divided:
+
+* groups of more than a hundredth of a shard, which are at most a hundred for each shard, go whole to the shard of their
+  label or, if that is full, to the emptiest one; those that fit nowhere are divided;
+* smaller groups, in the order of their labels, fill equal parts of what room is left, each whole;
+* documents without copies, and those of divided groups, fill up the shards to equal sizes, in the order of their labels.
+
+Every step is a join or aggregation over slim rows; quotas, offsets and loads are tables of shards, ranges or parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.lookup import attach
 from ..schema import ref, require
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, small_frame
 
-ROUNDS = 6
 SLACK = 0.3  # by which a shard may be over the mean while labels move; settling evens it out
 QUOTA_RANGES = 256
-NEGLIGIBLE = 0.001  # share of documents moved below which the rounds end
+GAIN, PATIENCE = 0.02, 1  # rounds end behind one more that frees less than this part of the cut links
+HUB_BUCKETS = 4_096
+LARGE = 100  # groups of more than this part of a shard are placed one by one
 
 
 def _bucket(*columns: Column | str, count: int) -> Column:
@@ -27,80 +38,127 @@ def _bucket(*columns: Column | str, count: int) -> Column:
 
 
 def propagate(
-    nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK, start: str = "node"
+    nodes: DataFrame, links: DataFrame, shards: int, rounds: int | None = None, slack: float = SLACK, history: list[dict] | None = None
 ) -> DataFrame:
-    """(node, size, shard) from nodes (node, size, start), each node once, and undirected links (a, b, weight).
-    Nodes that are alike in the column ``start`` begin in one shard.
+    """(node, size, shard) from nodes (node, size), each node once, and undirected links (a, b, weight).
 
-    A document's neighbours pull it, each with the link's weight. It moves only to a shard that holds more of its neighbours' weight than its own does, and only while that
-    shard has room: its size may not pass the mean by more than ``slack``.
+    A document's neighbours pull it, each with the link's weight. It moves only to a shard that holds more of its
+    neighbours' weight than its own does, and only while that shard has room: its size may not pass the mean by more
+    than ``slack``. Rounds end when the weight of cut links has all but stopped falling (``GAIN``), at the latest after ``rounds``;
+    ``history`` gets the weight of cut links before each round and the number of documents that moved in it.
     """
-    labels = cut_lineage(nodes.select("node", "size", _bucket(start, F.lit("start"), count=shards).alias("shard")))
+    labels = cut_lineage(nodes.select("node", "size", _bucket("node", F.lit("start"), count=shards).alias("shard")))
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight")
     both = cut_lineage(both.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")))
     if both.isEmpty():
         return labels
-    total = labels.agg(F.sum("size"), F.count("*")).first()
-    for turn in range(rounds):
+    total = labels.agg(F.sum("size")).first()[0]
+    turn, least, idle = 0, None, 0
+    while rounds is None or turn < rounds:
+        seen = both.join(labels.select(F.col("node").alias("other"), F.col("shard").alias("near")), "other").join(labels, "node")
+        seen = cut_lineage(seen.select("node", "other", "size", "shard", "near", "weight"))
+        cut = seen.agg(F.sum(F.when(F.col("shard") != F.col("near"), F.col("weight")).otherwise(0))).first()[0]
+        idle = 0 if least is None or cut < (1 - GAIN) * least else idle + 1
+        least = cut if least is None else min(least, cut)
+        if cut == 0 or idle > PATIENCE:
+            break
         # neighbours that follow each other would swap shards for ever: first the larger names follow the smaller
         # ones, then a half of all documents, another one each round, follows all of its neighbours
         follows = F.col("other") < F.col("node") if turn == 0 else _bucket("node", F.lit(-turn), count=2) == 0
-        near = both.where(follows).join(labels.select(F.col("node").alias("other"), F.col("shard").alias("near")), "other")
-        pull = near.groupBy("node", "near").agg(F.sum("weight").alias("pull"))
-        best = pull.groupBy("node").agg(F.max(F.struct("pull", (-F.col("near")).alias("near"))).alias("best"))
-        here = pull.select("node", F.col("near").alias("shard"), "pull")
-        moves = labels.join(best, "node").join(here, ["node", "shard"], "left")
-        moves = moves.where((F.col("best.pull") > F.coalesce("pull", F.lit(0))) & (-F.col("best.near") != F.col("shard")))
-        moves = moves.select("node", "size", (-F.col("best.near")).alias("to"), _bucket("node", F.lit(turn), count=QUOTA_RANGES).alias("range"))
-        moves = cut_lineage(moves)
+        pull = seen.where(follows).groupBy("node", "size", "shard", "near").agg(F.sum("weight").alias("pull"))
+        best = pull.groupBy("node", "size", "shard").agg(
+            F.max(F.struct("pull", (-F.col("near")).alias("near"))).alias("best"), F.sum(F.when(F.col("near") == F.col("shard"), F.col("pull")).otherwise(0)).alias("here")
+        )
+        to, range_ = (-F.col("best.near")).alias("to"), _bucket("node", F.lit(turn), count=QUOTA_RANGES).alias("range")
+        moves = cut_lineage(best.where((F.col("best.pull") > F.col("here")) & (-F.col("best.near") != F.col("shard"))).select("node", "size", to, range_))
         full = labels.groupBy(F.col("shard").alias("to")).agg(F.sum("size").alias("full"))
         asked = moves.groupBy("to", "range").agg(F.sum("size").alias("asked"))
         sums = F.sum("asked").over(Window.partitionBy("to").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-        room = F.lit(total[0] / shards * (1 + slack)) - F.coalesce("full", F.lit(0))
+        room = F.lit(total / shards * (1 + slack)) - F.coalesce("full", F.lit(0))
         let_in = asked.join(full, "to", "left").withColumns({"sums": sums, "room": room}).where("sums <= room").select("to", "range")
         granted = moves.join(F.broadcast(let_in), ["to", "range"]).select("node", "to")  # at most shards x ranges rows
-        moved = granted.count()
-        labels = cut_lineage(
-            labels.join(granted, "node", "left").select("node", "size", F.coalesce("to", "shard").alias("shard"))
-        )
-        if moved < NEGLIGIBLE * total[1]:
-            break
+        changed = labels.join(granted, "node", "left").select("node", "size", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved"))
+        changed = cut_lineage(changed)
+        if history is not None:
+            history.append({"cut": cut, "moved": changed.where("moved").count()})
+        labels, turn = changed.drop("moved"), turn + 1
     return labels
 
 
-def settle(placed: DataFrame, shards: int, group: str, order: str) -> DataFrame:
-    """``placed`` (size, shard, ...) with ``shard`` cut anew and ``slot``, the place within the shard from 0 on.
-
-    Rows in the order of shard, hash of ``group``, and hash of ``order`` get running totals of bytes: within the
-    parts of a range sort, plus the totals of the parts before. Shard k takes the rows whose middle lies in the k-th
-    of ``shards`` equal stretches.
-    """
-    by_group, by_order = F.xxhash64(group).alias("g"), F.xxhash64(order).alias("o")
-    parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = placed.withColumns({"g": by_group, "o": by_order})
-    ordered = keyed.repartitionByRange(parts, "shard", "g", group, "o", order)
-    ordered = cut_lineage(ordered.withColumn("part", F.spark_partition_id()))
-    sums = cut_lineage(ordered.groupBy("part").agg(F.sum("size").alias("bytes")))
+def running(df: DataFrame, order: Sequence[str], amount: Column) -> DataFrame:
+    """``df`` with ``before``: the sum of ``amount`` over all rows ahead in ``order``, which tells rows apart. Within the
+    parts of a range sort, plus the sums of the parts before."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = cut_lineage(df.withColumn("amount", amount).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # a row for each part
-    offsets = sums.select("part", (F.sum("bytes").over(upto) - F.col("bytes")).alias("ahead"), F.sum("bytes").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("part").orderBy("shard", "g", group, "o", order)
-    run = ordered.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    run = run.join(F.broadcast(offsets), "part")  # at most as many rows as parts
-    middle = F.col("ahead") + F.col("before") + F.col("size") / 2
-    cut = F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int")
-    run = cut_lineage(run.withColumn("cut", cut).withColumn("place", F.row_number().over(inside)))
-    counts = run.groupBy("cut", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    earlier = Window.partitionBy("cut").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    starts = counts.select("cut", "part", "first", (F.sum("n").over(earlier) - F.col("n")).alias("start"))
-    slots = run.join(F.broadcast(starts), ["cut", "part"])
-    return slots.withColumn("slot", (F.col("start") + F.col("place") - F.col("first")).cast("long")).drop("shard").withColumnRenamed("cut", "shard")
+    offsets = ordered.groupBy("part").agg(F.sum("amount").alias("of_part")).select("part", (F.sum("of_part").over(upto) - F.col("of_part")).alias("ahead"))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ordered.withColumn("before", F.sum("amount").over(inside) - F.col("amount")).join(F.broadcast(offsets), "part")
+    return summed.withColumn("before", F.col("before") + F.col("ahead")).drop("part", "ahead", "amount")
+
+
+def _stretches(df: DataFrame, rooms: Sequence[float], order: Sequence[str]) -> DataFrame:
+    """``df`` (size, ...) with ``shard``: rows in ``order`` fill stretches in proportion to ``rooms``, each where its
+    middle lies."""
+    total, free = df.agg(F.sum("size")).first()[0] or 0, sum(rooms)
+    shares = rooms if free else [1.0] * len(rooms)
+    bounds, upto = [], 0.0
+    for share in shares[:-1]:
+        upto += share
+        bounds.append(upto / sum(shares) * total)
+    middle = F.col("before") + F.col("size") / 2
+    passed = [F.when(middle >= F.lit(bound), 1).otherwise(0) for bound in bounds]
+    shard = sum(passed[1:], passed[0]) if passed else F.lit(0)
+    return running(df, order, F.col("size")).withColumn("shard", shard.cast("int")).drop("before")
+
+
+def settle(nodes: DataFrame, shards: int) -> DataFrame:
+    """``nodes`` (node, size, digest, label, ...) with ``shard`` and ``slot``, the place within the shard from 0 on.
+
+    All shards get equal bytes, up to one document as long as documents without copies fill them, else up to a hundredth.
+    A group of equal digests is divided only if it has no room in any shard.
+    """
+    spark = nodes.sparkSession
+    by_label = nodes.groupBy("digest", "label").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    groups = by_label.groupBy("digest").agg(
+        F.sum("size").alias("size"), F.sum("n").alias("n"), F.max_by("label", F.struct("size", -F.col("label"))).alias("label")
+    )
+    groups = cut_lineage(groups)
+    mean = (groups.agg(F.sum("size")).first()[0] or 0) / shards
+    several = groups.where("n > 1")
+    loads, fixed = [0] * shards, []
+    # sizes add up to the shards, so fewer than shards x LARGE groups can be so large
+    large = several.where((F.col("size") > mean / LARGE) & (F.col("size") <= mean)).select("size", "digest", "label").collect()
+    for size, digest, label in sorted(large, key=lambda row: (-row["size"], row["digest"])):
+        shard = label if loads[label] + size <= mean else min(range(shards), key=lambda k: (loads[k], k))
+        if loads[shard] + size <= mean:
+            loads[shard] += size
+            fixed.append((digest, shard))
+    small = several.where(F.col("size") <= mean / LARGE).withColumn("mixed", F.xxhash64("digest"))
+    small = _stretches(small, [mean - load for load in loads], ["label", "mixed", "digest"]).select("digest", "shard")
+    whole = cut_lineage(small.unionByName(small_frame(spark, fixed, "digest string, shard int")))
+    known = cut_lineage(attach(nodes, whole, "digest").withColumn("mixed", F.xxhash64("node")))
+    placed = known.where("shard IS NOT NULL")
+    held = {row["shard"]: row["held"] for row in placed.groupBy("shard").agg(F.sum("size").alias("held")).collect()}
+    rooms = [max(mean - held.get(shard, 0), 0) for shard in range(shards)]
+    filled = _stretches(known.where("shard IS NULL").drop("shard"), rooms, ["label", "mixed", "node"])
+    everywhere = placed.unionByName(filled)
+    counted = running(everywhere, ["shard", "mixed", "node"], F.lit(1).cast("long"))
+    numbers = everywhere.groupBy("shard").agg(F.count("*").alias("n"))
+    first = numbers.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"))
+    return counted.join(F.broadcast(first), "shard").withColumn("slot", F.col("before") - F.col("first")).drop("before", "first", "mixed", "label")
 
 
 def copy_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b, weight) of nodes (node, digest) with equal digests: a star for each, with few hubs for many
-    copies, so that a hot text is neither one row nor all pairs."""
-    hubs = nodes.groupBy("digest").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    return nodes.join(hubs, "digest").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(1).alias("weight"))
+    """Links (a, b, weight) of nodes (node, digest) with equal digests: a tree for each. A node is linked to the smallest
+    of its digest and hash bucket, these to the smallest of the digest, so a text that most rows hold has no hub with a
+    large share of them."""
+    bucketed = nodes.withColumn("bucket", _bucket("node", F.lit("hub"), count=HUB_BUCKETS))
+    hubs = bucketed.groupBy("digest", "bucket").agg(F.min("node").alias("hub"))
+    members = bucketed.join(hubs, ["digest", "bucket"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    tops = hubs.groupBy("digest").agg(F.min("hub").alias("top"))
+    upper = hubs.join(tops, "digest").where("hub <> top").select(F.col("hub").alias("a"), F.col("top").alias("b"))
+    return members.unionByName(upper).withColumn("weight", F.lit(1))
 
 
 def _nodes(docs: DataFrame, id_column: str, text_column: str, carry: bool) -> tuple[DataFrame, DataFrame]:
@@ -122,24 +180,25 @@ def _nodes(docs: DataFrame, id_column: str, text_column: str, carry: bool) -> tu
     return known, cut_lineage(slim.drop("turn"))
 
 
-def _placed(nodes: DataFrame, shards: int) -> DataFrame:
-    labels = propagate(nodes.select("node", "size", "digest"), copy_links(nodes.select("node", "digest")), shards, start="digest")
-    return settle(labels.join(nodes.drop("size"), "node"), shards, "digest", "node")
+def _placed(nodes: DataFrame, shards: int, history: list[dict] | None = None) -> DataFrame:
+    labels = propagate(nodes.select("node", "size"), cut_lineage(copy_links(nodes.select("node", "digest"))), shards, history=history)
+    return settle(cut_lineage(nodes.join(labels.select("node", F.col("shard").alias("label")), "node")), shards)
 
 
-def sharded(docs: DataFrame, shards: int = 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 24, id_column: str = "doc_id", text_column: str = "text", history: list[dict] | None = None) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``.
 
     ``size`` is the text's UTF-8 bytes plus 8, ``text_crc32`` its unsigned CRC-32 (null: as empty). The law is
-    ``bytes``: no shard is further from an equal share of all bytes than the largest document. Documents with equal
-    texts are linked and stay together as far as that law lets them. ``slot`` numbers a shard's documents from 0
-    without gaps; ``grown_shard`` is null, for under this law a further shard would move documents everywhere.
+    ``bytes``: no shard is further from an equal share of all bytes than the largest document, or, where hardly any
+    document is without a copy, than a hundredth. Documents with equal texts are linked and stay together unless no shard
+    has room for all of them. ``slot`` numbers a shard's documents from 0 without gaps; ``grown_shard`` is null, for under
+    this law a further shard would move documents everywhere. ``history`` is as in :func:`propagate`.
 
     Rows with null or repeated ids are documents of their own. Other columns are not read. An empty table gives an
     empty result.
     """
     _, nodes = _nodes(docs, id_column, text_column, carry=False)
-    return _placed(nodes, shards).select(
+    return _placed(nodes, shards, history).select(
         F.col("id").alias(id_column), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

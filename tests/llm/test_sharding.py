@@ -22,33 +22,55 @@ def check_even(rows, shards, largest):
     assert max(abs(total - sum(totals) / shards) for total in totals) <= largest
 
 
+def divided(rows):
+    places, sizes = {}, {}
+    for r in rows:
+        places.setdefault(r["text_crc32"], set()).add(r["shard"])
+        sizes[r["text_crc32"]] = sizes.get(r["text_crc32"], 0) + r["size"]
+    return {key: sizes[key] for key, found in places.items() if len(found) > 1}
+
+
+def check_slots(rows, shards):
+    for shard in range(shards):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+
+
 def test_sizes_are_even_and_copies_stay_together(spark):
     texts = [prose(i, 30 + i % 50) for i in range(300)]
     rows = [(i, text) for i, text in enumerate(texts)] + [(1_000 + i, texts[i % 60]) for i in range(180)]
     rows = sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=6).collect()
     check_even(rows, 6, max(r["size"] for r in rows))
-    places = {}
-    for r in rows:
-        places.setdefault(r["text_crc32"], set()).add(r["shard"])
-    assert sum(len(found) > 1 for found in places.values()) <= 5 + 6  # those on a cut, and few that found no room
+    check_slots(rows, 6)
+    assert divided(rows) == {}
 
 
 def test_a_third_of_all_rows_are_one_text(spark):
     rows = [(i, prose(i, 40)) for i in range(200)] + [(1_000 + i, "the same text again") for i in range(400)]
     rows = sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
     check_even(rows, 4, max(r["size"] for r in rows))
+    check_slots(rows, 4)
 
 
-def test_only_groups_on_a_cut_are_divided(spark):
-    """Groups of five copies beside one text that holds a third of all rows and is larger than a shard."""
+def test_no_group_that_fits_is_divided(spark):
+    """Groups of two to forty copies beside one text that holds a third of all rows and is larger than a shard."""
     texts = [prose(i, 30) for i in range(300)]
-    rows = [(5 * i + copy, text) for i, text in enumerate(texts) for copy in range(5)] + [(10_000 + i, prose(999, 30)) for i in range(750)]
+    rows = [(100 * i + copy, text) for i, text in enumerate(texts) for copy in range(40 if i % 60 == 0 else 2 + i % 5)]
+    rows += [(100_000 + i, prose(999, 30)) for i in range(750)]
     rows = sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=12).collect()
     check_even(rows, 12, max(r["size"] for r in rows))
-    places = {}
-    for r in rows:
-        places.setdefault(r["text_crc32"], set()).add(r["shard"])
-    assert len(places) == 301 and sum(len(found) > 1 for found in places.values()) <= 11
+    check_slots(rows, 12)
+    mean = sum(r["size"] for r in rows) / 12
+    assert len(divided(rows)) == 1 and min(divided(rows).values()) > mean
+
+
+def test_rounds_move_scattered_copies_together(spark):
+    """On the query's own path: copies begin scattered, and the first rounds gather them."""
+    texts = [prose(i, 30) for i in range(400)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(1_000 + i, texts[i % 80]) for i in range(240)]
+    docs, history = spark.createDataFrame(rows, "doc_id long, text string"), []
+    sharded(docs, shards=8, history=history).collect()
+    assert history[0]["moved"] > 100 and history[0]["cut"] > 2 * 240 * 0.7  # seven of eight random neighbours are elsewhere
+    assert history[-1]["cut"] < 0.2 * history[0]["cut"] and len(history) > 1
 
 
 def test_propagation_gathers_clusters_of_any_links(spark):
@@ -61,10 +83,16 @@ def test_propagation_gathers_clusters_of_any_links(spark):
     assert full <= 1.3 * 400 + 10 * 20
 
 
-def test_links_are_stars(spark):
+def test_links_are_trees_without_large_hubs(spark, monkeypatch):
+    monkeypatch.setattr("millrace.llm.sharding.HUB_BUCKETS", 8)
     nodes = spark.createDataFrame([(f"{i:03d}", "d" if i < 50 else str(i)) for i in range(60)], "node string, digest string")
-    links = copy_links(nodes).collect()
-    assert len(links) == 49 and {r["b"] for r in links} == {"000"}
+    links = [(r["a"], r["b"]) for r in copy_links(nodes).collect()]
+    assert len(links) == 49
+    reached = {"000"}
+    for _ in range(3):
+        reached |= {a for a, b in links if b in reached} | {b for a, b in links if a in reached}
+    assert len(reached) == 50
+    assert max(sum(node in link for link in links) for node in reached) < 25
 
 
 def test_columns_stay_and_empty_table(odd_docs, odd_rows, no_docs):
