@@ -55,23 +55,27 @@ def propagate(
     total = labels.agg(F.sum("size")).first()[0]
     turn, least, idle = 0, None, 0
     while rounds is None or turn < rounds:
+        # neighbours that follow each other would swap shards for ever: first the larger names follow the smaller
+        # ones, twice for what the hubs of hubs change, then a half of all documents, another one each round, follows all
+        # of its neighbours; the round is a text in the plan, so that all rounds run the same compiled code
+        follows = F.col("other") < F.col("node") if turn < 2 else _bucket("node", F.lit(f"half {turn}"), count=2) == 0
         seen = both.join(labels.select(F.col("node").alias("other"), F.col("shard").alias("near")), "other").join(labels, "node")
-        seen = cut_lineage(seen.select("node", "other", "size", "shard", "near", "weight"))
-        cut = seen.agg(F.sum(F.when(F.col("shard") != F.col("near"), F.col("weight")).otherwise(0))).first()[0]
+        # both aggregates keep the second join's partitioning by node
+        pull = seen.groupBy("node", "size", "shard", "near").agg(F.sum("weight").alias("weight"), F.sum(F.when(follows, F.col("weight")).otherwise(0)).alias("pull"))
+        at_home = F.col("near") == F.col("shard")
+        decided = cut_lineage(
+            pull.groupBy("node", "size", "shard").agg(
+                F.max(F.struct("pull", (-F.col("near")).alias("near"))).alias("best"),
+                F.sum(F.when(at_home, F.col("pull")).otherwise(0)).alias("here"), F.sum(F.when(~at_home, F.col("weight")).otherwise(0)).alias("cut"),
+            )
+        )
+        cut = decided.agg(F.sum("cut")).first()[0]
         idle = 0 if least is None or cut < (1 - GAIN) * least else idle + 1
         least = cut if least is None else min(least, cut)
         if cut == 0 or idle > PATIENCE:
             break
-        # neighbours that follow each other would swap shards for ever: first the larger names follow the smaller
-        # ones, twice for what the hubs of hubs change, then a half of all documents, another one each round, follows all
-        # of its neighbours; the round is a text in the plan, so that all rounds run the same compiled code
-        follows = F.col("other") < F.col("node") if turn < 2 else _bucket("node", F.lit(f"half {turn}"), count=2) == 0
-        pull = seen.where(follows).groupBy("node", "size", "shard", "near").agg(F.sum("weight").alias("pull"))
-        best = pull.groupBy("node", "size", "shard").agg(
-            F.max(F.struct("pull", (-F.col("near")).alias("near"))).alias("best"), F.sum(F.when(F.col("near") == F.col("shard"), F.col("pull")).otherwise(0)).alias("here")
-        )
         to, range_ = (-F.col("best.near")).alias("to"), _bucket("node", F.lit(f"range {turn}"), count=QUOTA_RANGES).alias("range")
-        moves = best.where((F.col("best.pull") > F.col("here")) & (-F.col("best.near") != F.col("shard"))).select("node", "size", to, range_)
+        moves = decided.where((F.col("best.pull") > F.col("here")) & (-F.col("best.near") != F.col("shard"))).select("node", "size", to, range_)
         full = labels.groupBy(F.col("shard").alias("to")).agg(F.sum("size").alias("full"))
         asked = moves.groupBy("to", "range").agg(F.sum("size").alias("asked"))
         sums = F.sum("asked").over(Window.partitionBy("to").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
