@@ -1,20 +1,21 @@
 """Quality of documents by weak supervision: rules vote or abstain, and what their votes are worth is estimated.
 
-Each rule looks at one trait of a text and says good, bad, or nothing where the trait is in between or cannot be
-judged. A document is good or junk of one of several kinds, one kind for each rule: most junk breaks one rule only, so
-votes are independent of each other within a kind but not within all junk. Expectation-maximisation over the counts
-of all vote patterns in the corpus estimates how common each kind is and how often each rule says what of it. A
-document is kept when the posterior probability that it is good, given all votes on it, is at least one half.
-
-Texts are judged by DataFrame functions only. The counts of patterns, at most 3 to the power of the number of rules
-however large the corpus is, are all that estimation needs; they come to the driver and its probabilities, one for a
-pattern, go back by a join.
+Texts are judged on six traits, each by three rules that look at it from different sides and say good, bad, or nothing
+where the figure is in between or cannot be taken. Whether a text has the fault of a trait is not known: it is the
+hidden state that expectation-maximisation estimates, together with how common the fault is, how often each rule calls
+sound texts bad and how often it catches the fault. Three votes on one hidden state are the fewest from which these
+can be told: a rule that errs often is found out by the two others, and outvoted, whatever its name. A document is
+good if it has none of the faults, and is kept when the probability of that, given all votes on it, is at least one half.
+
+Texts are judged by DataFrame functions only. A trait has 27 vote patterns however large the corpus is; their counts
+are all that estimation needs and all that comes to the driver, and the probabilities go back as literals.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,17 +24,22 @@ from ..session import cut_lineage
 
 WORD_BREAKS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
+WORD_START = "(?<![^\\x20\\x09-\\x0D])"
 WINDOW = 5
-ROUNDS = 25
-SETTLED = 1e-4
-#: What a rule is taken to say of good documents, and the other way round of its own kind of junk, before any evidence,
-#: and the weight of that, in shares of all rows. It ties the classes to their meaning, and must stay far below the share
-#: of the rarest kind: a round of estimation hands PRIOR["0"] * PRIOR_WEIGHT rows of each kind to the good ones.
-PRIOR = {"1": 0.994, "0": 0.001}
-PRIOR_WEIGHT = 1e-9
-PASSED = {"1": 0.9, "0": 0.1}  # rows that every rule is taken to have said of each other kind of junk
+ROUNDS = 500
+SETTLED = 1e-7
+#: A rule is taken to be better than chance, which is what tells the fault from its absence: it catches no less of its
+#: own fault, and calls no more of the sound texts bad.
+LEAST_HIT, MOST_FALSE = 0.6, 0.4
+PSEUDO = 0.5  # rows of either outcome that every rate starts with; a constant, so evidence outweighs it in any corpus
 
-Said = list[list[dict[str, float]]]  # class (good, then the kinds), rule, vote -> how often
+
+class Fault(NamedTuple):
+    """What is estimated of a trait: the share of faulty texts, and of each rule how often it votes bad."""
+
+    share: float
+    false: list[float]  # on sound texts
+    hit: list[float]  # on faulty ones
 
 
 def traits(text: Column) -> dict[str, Column]:
@@ -77,78 +83,102 @@ def traits(text: Column) -> dict[str, Column]:
         "n_upper": F.regexp_count(text, F.lit("\\p{Lu}")),
         "n_digits": F.regexp_count(text, F.lit("[0-9]")),
         "n_shouts": F.regexp_count(text, F.lit("!")),
+        #: a match goes on to the end of its word, so words are counted, each once
+        "n_marked": F.regexp_count(text, F.lit(f"{SYMBOLS}[^\\x20\\x09-\\x0D]*")),
+        "n_capital_words": F.regexp_count(text, F.lit(f"{WORD_START}\\p{{Lu}}{{2}}")),
+        "n_number_words": F.regexp_count(text, F.lit(f"{WORD_START}[0-9]")),
+        "n_long_words": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]{21}[^\\x20\\x09-\\x0D]*+")),
+        "n_letters": F.regexp_count(text, F.lit("\\p{L}")),
+        "n_shout_runs": F.regexp_count(text, F.lit("!!+")),
+        "n_stops": F.regexp_count(text, F.lit("[.?]")),
+        "n_chars": F.length(text),
     }
 
 
-#: rule -> (share or figure it looks at, good while, bad while), as SQL over the traits; otherwise it abstains.
-RULES: Mapping[str, tuple[str, str, str]] = {
-    "symbols": ("n_symbols / nullif(n_words, 0)", "< 0.05", "> 0.2"),
-    "capitals": ("n_upper / nullif(word_chars, 0)", "< 0.25", "> 0.6"),
-    "shouting": ("n_shouts / nullif(n_words, 0)", "< 0.05", "> 0.25"),
-    "repeated_words": ("n_repeat_words / nullif(n_words, 0)", "< 0.1", "> 0.2"),
-    "repeated_lines": ("n_dup_lines / nullif(n_words, 0)", "< 0.002", "> 0.02"),
-    "variety": ("n_distinct / nullif(least(n_words, 200), 0)", "> 0.35", "< 0.15"),
-    "word_length": ("word_chars / nullif(n_words, 0)", "between 3 and 9", "> 14"),
-    "digits": ("n_digits / nullif(word_chars, 0)", "< 0.1", "> 0.4"),
-    "length": ("n_words", ">= 50", "< 10"),
+Rule = tuple[str, str, str]
+#: trait -> its rules: name -> (figure it looks at, good while, bad while), as SQL over the traits; otherwise it abstains.
+RULES: Mapping[str, Mapping[str, Rule]] = {
+    "signs": {
+        "symbols": ("n_symbols / nullif(n_words, 0)", "< 0.05", "> 0.2"),
+        "marked_words": ("n_marked / nullif(n_words, 0)", "< 0.05", "> 0.15"),
+        "symbol_density": ("n_symbols / nullif(word_chars, 0)", "< 0.01", "> 0.03"),
+    },
+    "capitals": {
+        "capitals": ("n_upper / nullif(word_chars, 0)", "< 0.25", "> 0.6"),
+        "capital_words": ("n_capital_words / nullif(n_words, 0)", "< 0.15", "> 0.5"),
+        "capital_letters": ("n_upper / nullif(n_letters, 0)", "< 0.3", "> 0.7"),
+    },
+    "shouting": {
+        "shouts": ("n_shouts / nullif(n_words, 0)", "< 0.05", "> 0.25"),
+        "shout_runs": ("n_shout_runs / nullif(n_words, 0)", "< 0.01", "> 0.05"),
+        "shouted_ends": ("n_shouts / nullif(n_shouts + n_stops, 0)", "< 0.3", "> 0.8"),
+    },
+    "repetition": {
+        "repeated_words": ("n_repeat_words / nullif(n_words, 0)", "< 0.1", "> 0.15"),
+        "repeated_lines": ("n_dup_lines / nullif(n_words, 0)", "< 0.002", "> 0.02"),
+        "variety": ("n_distinct / nullif(least(n_words, 200), 0)", "> 0.35", "< 0.15"),
+    },
+    "long_words": {
+        "word_length": ("word_chars / nullif(n_words, 0)", "between 3 and 9", "> 14"),
+        "long_words": ("n_long_words / nullif(n_words, 0)", "< 0.05", "> 0.2"),
+        "spacing": ("word_chars / nullif(n_chars, 0)", "< 0.9", "> 0.94"),
+    },
+    "numbers": {
+        "digits": ("n_digits / nullif(word_chars, 0)", "< 0.1", "> 0.4"),
+        "number_words": ("n_number_words / nullif(n_words, 0)", "< 0.15", "> 0.4"),
+        "letters": ("n_letters / nullif(word_chars, 0)", "> 0.75", "< 0.5"),
+    },
 }
 
 
-def votes(rules: Mapping[str, tuple[str, str, str]]) -> Column:
-    """One character for each rule in turn: 1 good, 0 bad, - abstains."""
-    said = [f"CASE WHEN {figure} {bad} THEN '0' WHEN {figure} {good} THEN '1' ELSE '-' END" for figure, good, bad in rules.values()]
-    return F.expr(f"concat({', '.join(said)})")
+def votes(rules: Mapping[str, Mapping[str, Rule]]) -> Column:
+    """A word for each trait, of one character for each of its rules in turn: 1 good, 0 bad, - abstains."""
+    def said(figure: str, good: str, bad: str) -> str:
+        return f"CASE WHEN {figure} {bad} THEN '0' WHEN {figure} {good} THEN '1' ELSE '-' END"
+
+    return F.expr(f"concat_ws(' ', {', '.join(f'concat({", ".join(said(*rule) for rule in trait.values())})' for trait in rules.values())})")
+
 
+def faulty(pattern: str, fault: Fault) -> float:
+    """The probability of the fault, given the votes on its trait. A rule that abstains says nothing."""
+    odds = math.log(fault.share) - math.log1p(-fault.share)
+    for vote, false, hit in zip(pattern, fault.false, fault.hit):
+        if vote != "-":
+            odds += math.log(hit / false) if vote == "0" else math.log((1 - hit) / (1 - false))
+    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
-def estimate(counts: Mapping[str, int], rules: int) -> tuple[list[float], Said]:
-    """From the number of documents of each vote pattern: the share of each class, good first, and how often each
-    rule gives each vote to it.
 
-    The first guess takes a document for the kind of the first rule that votes against it, and for good if none does.
-    A rule that abstains says nothing of the class.
+def estimate(counts: Mapping[str, int], rules: int) -> Fault:
+    """What a trait's vote patterns, each with its number of documents, say of the fault and the rules.
+
+    The first guess takes the word of most rules that vote. Every further round takes the rates that are most likely
+    under the last round's probabilities, within what a rule that is better than chance can have.
     """
-    total, classes = sum(counts.values()), range(rules + 1)
     guess = {}
     for pattern in sorted(counts):
-        first_bad = pattern.find("0") + 1  # 0: none
-        guess[pattern] = [0.1 if first_bad else 1.0] + [0.9 if kind == first_bad else 0.0 for kind in classes[1:]]
-    shares, said = [1 / (rules + 1)] * (rules + 1), [[dict(PRIOR) for _ in range(rules)] for _ in classes]
-    for _ in range(ROUNDS if total else 0):
-        mass = [sum(counts[pattern] * chance[kind] for pattern, chance in guess.items()) for kind in classes]
-        new_shares = [(mass[kind] + 1) / (total + rules + 1) for kind in classes]
-        new: Said = []
-        for kind in classes:
-            told = []
-            for rule in range(rules):
-                rows = {v: sum(counts[p] * chance[kind] for p, chance in guess.items() if p[rule] == v) for v in "10"}
-                before = {v: PRIOR_WEIGHT * total * share for v, share in PRIOR.items()}
-                if kind == rule + 1:
-                    before = {"1": before["0"], "0": before["1"]}
-                elif kind:
-                    before = PASSED
-                whole = sum(rows.values()) + sum(before.values())
-                told.append({v: (rows[v] + before[v]) / whole for v in "10"})
-            new.append(told)
-        change = max(abs(a - b) for a, b in zip(new_shares, shares))
-        change = max([change, *(abs(a[v] - b[v]) for x, y in zip(new, said) for a, b in zip(x, y) for v in "10")])
-        shares, said = new_shares, new
-        guess = {pattern: chances(pattern, shares, said) for pattern in guess}
-        if change < SETTLED:
+        bad, good = pattern.count("0"), pattern.count("1")
+        guess[pattern] = 0.9 if bad > good else 0.5 if bad and bad == good else 0.01
+    fault = Fault(0.5, [0.5] * rules, [0.5] * rules)
+    for _ in range(ROUNDS):
+        total = sum(counts.values())
+        share = (sum(n * guess[pattern] for pattern, n in counts.items()) + PSEUDO) / (total + 2 * PSEUDO)
+        false, hit = [], []
+        for rule in range(rules):
+            rows = {(vote, state): PSEUDO for vote in "10" for state in (0, 1)}
+            for pattern, n in counts.items():
+                if pattern[rule] != "-":
+                    rows[pattern[rule], 0] += n * (1 - guess[pattern])
+                    rows[pattern[rule], 1] += n * guess[pattern]
+            false.append(min(rows["0", 0] / (rows["0", 0] + rows["1", 0]), MOST_FALSE))
+            hit.append(max(rows["0", 1] / (rows["0", 1] + rows["1", 1]), LEAST_HIT))
+        last, fault = fault, Fault(share, false, hit)
+        guess = {pattern: faulty(pattern, fault) for pattern in guess}
+        if max(abs(a - b) for a, b in zip([share, *false, *hit], [last.share, *last.false, *last.hit])) < SETTLED:
             break
-    return shares, said
-
-
-def chances(pattern: str, shares: list[float], said: Said) -> list[float]:
-    """The probability of each class, given a vote pattern."""
-    logs = [
-        math.log(share) + sum(math.log(told[rule][vote]) for rule, vote in enumerate(pattern) if vote != "-")
-        for share, told in zip(shares, said)
-    ]
-    likely = [math.exp(log - max(logs)) for log in logs]
-    return [value / sum(likely) for value in likely]
+    return fault
 
 
-def judged(docs: DataFrame, text_column: str = "text", rules: Mapping[str, tuple[str, str, str]] = RULES) -> DataFrame:
+def judged(docs: DataFrame, text_column: str = "text", rules: Mapping[str, Mapping[str, Rule]] = RULES) -> DataFrame:
     """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, pattern): ``row`` holds all
     columns of ``docs`` as a struct, so none of their names can clash."""
     require(docs, text_column)
@@ -175,20 +205,35 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return _decided(found, "id").withColumnRenamed("id", id_column)
 
 
-def _decided(found: DataFrame, *first: str) -> DataFrame:
+def faults(found: DataFrame, rules: Mapping[str, Mapping[str, Rule]] = RULES) -> dict[str, tuple[Fault, dict[str, int]]]:
+    """What is estimated of each trait, and the counts of vote patterns it comes from, over the rows of :func:`judged`
+    that pass the base rule. ``found`` should be at rest, or texts are judged again."""
     patterns = found.where("NOT base_failed").groupBy("pattern").agg(F.count("*").alias("n"))
-    counts = {row["pattern"]: row["n"] for row in patterns.collect()}  # at most 3 ** len(RULES) rows
-    shares, said = estimate(counts, len(RULES))
-    worth = [(pattern, round(chances(pattern, shares, said)[0], 9)) for pattern in sorted(counts)]
-    told = found.sparkSession.createDataFrame(worth, "pattern string, probability double")
-    judged_rows = found.join(F.broadcast(told), "pattern", "left")  # as many rows as patterns
-    return judged_rows.select(
+    by_trait = patterns.select(F.posexplode(F.split("pattern", " ")).alias("trait", "said"), "n").groupBy("trait", "said").agg(F.sum("n").alias("n"))
+    counts: list[dict[str, int]] = [{} for _ in rules]
+    for trait, said, n in by_trait.collect():  # at most 27 rows for each trait
+        counts[trait][said] = n
+    return {name: (estimate(of, len(rules[name])), of) for name, of in zip(rules, counts)}
+
+
+def _decided(found: DataFrame, *first: str) -> DataFrame:
+    good = F.lit(1.0)
+    for place, (fault, counts) in enumerate(faults(found).values()):
+        worth = [F.lit(value) for said in sorted(counts) for value in (said, 1 - faulty(said, fault))]
+        if worth:
+            good = good * F.element_at(F.create_map(*worth), F.get(F.split("pattern", " "), F.lit(place)))
+    probability = F.when(~F.col("base_failed"), F.round(good, 9))
+    return found.withColumn("probability", probability).select(
         *first, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("probability") >= 0.5)).alias("kept"), "probability", F.col("pattern").alias("votes"),
     )
 
 
 def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`quality` keeps, with all their columns.
+
+    Null and empty texts have no words, fail the base rule and go; texts of any length are judged whole. Repeated rows
+    all stay or all go; nulls in other columns and names of any kind do not matter. An empty table gives an empty result.
+    """
     found = cut_lineage(judged(docs, text_column))
     return _decided(found, "row").where("kept").select("row.*")
