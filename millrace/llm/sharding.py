@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.lookup import attach
 from ..schema import ref, require
-from ..session import cut_lineage, scratch_path, small_frame
+from ..session import cut_lineage, small_frame, written
 
 SLACK = 0.3  # by which a shard may be over the mean while labels move; settling evens it out
 QUOTA_RANGES = 256
@@ -83,7 +83,7 @@ def propagate(
         let_in = asked.join(full, "to", "left").withColumns({"sums": sums, "room": room}).where("sums <= room").select("to", "range")
         granted = moves.join(F.broadcast(let_in), ["to", "range"]).select("node", "to")  # at most shards x ranges rows
         changed = labels.join(granted, "node", "left").select("node", "size", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved"))
-        changed = cut_lineage(changed)
+        changed = written(changed, "labels")  # not a checkpoint: the next round joins it to itself
         if history is not None:
             history.append({"cut": cut, "moved": changed.where("moved").count()})
         labels, turn = changed.drop("moved"), turn + 1
@@ -176,9 +176,7 @@ def _nodes(docs: DataFrame, id_column: str, text_column: str, carry: bool) -> tu
         ref(id_column).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("digest"), F.monotonically_increasing_id().alias("nth"), *row,
     )
-    path = scratch_path(docs.sparkSession, "shards")
-    known.write.parquet(path)
-    known = docs.sparkSession.read.parquet(path)
+    known = written(known, "shards")
     turn = F.row_number().over(Window.partitionBy("id", "digest").orderBy("nth"))
     name = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("null")), "digest", F.col("turn").cast("string"))
     slim = known.select("id", "size", "text_crc32", "digest", "nth").withColumn("turn", turn).withColumn("node", name)

@@ -49,6 +49,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet under a new path, read from there. Its estimated size is that of the files, whereas a checkpoint
+    keeps the estimate of its plan, a product for joins: in a loop that number's own length would grow without bound."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that later steps do not redo its shuffles
     and a lost executor costs a re-read instead of a recomputation."""

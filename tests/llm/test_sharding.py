@@ -83,6 +83,17 @@ def test_propagation_gathers_clusters_of_any_links(spark):
     assert full <= 1.3 * 400 + 10 * 20
 
 
+def test_estimated_sizes_do_not_multiply_over_rounds(spark, capsys):
+    """A product for each join of each round would make numbers of so many digits that the driver has no room for them."""
+    nodes = spark.range(200).selectExpr("CAST(id AS STRING) AS node", "10L AS size")
+    links = spark.range(199).selectExpr("CAST(id AS STRING) AS a", "CAST(id + 1 AS STRING) AS b", "1 AS weight")
+    history = []
+    labels = propagate(nodes, links, 4, rounds=3, history=history)
+    assert len(history) == 3
+    labels.explain("cost")
+    assert "E+" not in capsys.readouterr().out.split("== Physical Plan ==")[0]
+
+
 def test_links_are_trees_without_large_hubs(spark, monkeypatch):
     monkeypatch.setattr("millrace.llm.sharding.HUB_BUCKETS", 8)
     nodes = spark.createDataFrame([(f"{i:03d}", "d" if i < 50 else str(i)) for i in range(60)], "node string, digest string")
