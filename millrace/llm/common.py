@@ -2,28 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from collections.abc import Callable
-from pathlib import Path
+from ..session import arrow_map, ship
 
-from pyspark.sql import DataFrame, SparkSession
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the Python workers, once per application."""
-    application = spark.sparkContext.applicationId
-    if application not in _SHIPPED:
-        package = Path(__file__).resolve().parent.parent
-        staged = Path(tempfile.mkdtemp(prefix="millrace-code-"))
-        shutil.copytree(package, staged / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(staged / f"{package.name}-code"), "zip", staged, package.name))
-        _SHIPPED.add(application)
-
-
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow``, with the code the function needs on every worker."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+__all__ = ["arrow_map", "ship"]

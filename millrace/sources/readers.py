@@ -39,16 +39,15 @@ def read_csv(
         return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     pieces = csv_pieces(spark, path)
     records = csv_records(pieces)
-    is_header = (F.col("range") == 0) & (F.col("number") == 1)
     separator = free_separator(pieces)
     reader = spark.read.option("escape", '"').option("lineSep", separator)
     if schema is None:
         first_file = pieces.agg(F.min("file")).first()[0]
-        header = records.where(F.col("file") == F.lit(first_file)).where(is_header).first()
+        header = records.where(F.col("file") == F.lit(first_file)).where("first").first()
         names = _safe_names(next(csv.reader(io.StringIO(header["record"], newline="")), [])) if header else []
         if not names:
             return spark.createDataFrame([], T.StructType([]))
-    path = as_lines(records.where(~is_header), separator)
+    path = as_lines(records.where("NOT first"), separator)
     if schema is None:
         found = [field.dataType for field in reader.option("inferSchema", True).csv(path).schema.fields]
         schema = T.StructType([T.StructField(name, found[i] if i < len(found) else T.StringType()) for i, name in enumerate(names)])

@@ -8,16 +8,22 @@ What a piece does to the state it is read in is known without that state:
 * JSON: it turns "inside a string" or not, and adds to the nesting depth, by one number if it begins outside a string and
   by another if inside.
 
-Such effects combine. Within a range they are running sums over its pieces; over the ranges of a file they are running
-sums over one row for each range, which give the state every range starts in. Pieces are then joined to records range by
-range, and only the first and last record of a range are looked at again, as these may go on in the next one.
+Such effects combine. Within a range they are running sums over its pieces, taken while the range is read, for either
+state it may start in; over the ranges of a file they are running sums over one row for each range, which give the state
+every range starts in. Pieces are then joined to records in the order in which they are read back, so no piece is shuffled
+or sorted; only the first and last record of what a task reads in one go are looked at again, as these may go on elsewhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from millrace.session import scratch_path
+from millrace.session import arrow_map, scratch_path, written
 
 #: Characters that may separate records where line breaks belong to them; the first that no record holds is taken.
 SEPARATORS = ("\x1e", "\x1f", "\x1d", "\x1c", "\x02", "\x03")
@@ -30,6 +36,12 @@ STAYS_INSIDE = r'(?s)\A[^"]*+(?:""[^"]*+)*+\z'
 CLOSED_FIRST = r'(?s)\A[^"]*+(?:""[^"]*+)*+"[^,]*+,?'
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 ESCAPED = r"\\."
+BLANK = " \t\n\x0b\f\r\ufeff"
+
+PIECE_SQL = "file string, range long, nth long, text string, ends boolean, state_0 int, state_1 int, depth_0 long, depth_1 long"
+PART_SQL = "file string, range long, nth long, begins boolean, whole boolean, record string"
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+PIECE, PART = (pa.schema([(name, ARROW[kind]) for name, kind in map(str.split, sql.split(","))]) for sql in (PIECE_SQL, PART_SQL))
 
 
 def _pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
@@ -64,6 +76,60 @@ def _json_effect(text: Column) -> dict[str, Column]:
     return {"turns": turns.cast("int"), "fixed": F.lit(None).cast("int"), "outer": _depth(text) - (turns == 0).cast("int"), "inner": from_inside - (turns == 1).cast("int")}
 
 
+def _states(turns: np.ndarray, fixed: np.ndarray, start: int) -> np.ndarray:
+    """The state before each piece, and behind the last one; ``fixed`` is -1 where nothing is."""
+    turned = np.concatenate([[0], np.cumsum(turns)])
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(fixed >= 0, np.arange(len(fixed)), -1))])
+    return np.where(last >= 0, fixed[last] + turned - turned[last + 1], start + turned) % 2
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Stretches of pieces that follow each other in one range of a file."""
+    nth = batch.column("nth").to_numpy()
+    new = np.concatenate([[True], np.diff(nth) != 1])
+    for name in ("file", "range"):
+        new[1:] |= pc.not_equal(batch.column(name)[1:], batch.column(name)[:-1]).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new).tolist()
+    yield from zip(starts, [*starts[1:], batch.num_rows])
+
+
+def _behind(place: tuple, opener: str, ends: list[tuple[int, int]]) -> pa.RecordBatch:
+    row = (*place, -1, opener, True, *(state for state, _ in ends), *(depth for _, depth in ends))
+    return pa.RecordBatch.from_arrays([pa.array([value], field.type) for value, field in zip(row, PIECE)], schema=PIECE)
+
+
+def _local_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with the state and depth each is read in if its range starts outside (``_0``) or inside (``_1``) a string
+    or quotes. Behind a range a row with ``ends`` tells the state and depth there, and how the range begins."""
+    place, opener, at = None, "", [(0, 0), (1, 0)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        turns, fixed, outer, inner = (batch.column(name).to_numpy() for name in ("turns", "fixed", "outer", "inner"))
+        found = np.empty((4, batch.num_rows), np.int64)
+        for first, stop in _runs(batch):
+            here = (batch.column("file")[first].as_py(), batch.column("range")[first].as_py())
+            if here != place:
+                if place:
+                    yield _behind(place, opener, at)
+                place, opener, at = here, batch.column("text")[first].as_py().lstrip(BLANK)[:1], [(0, 0), (1, 0)]
+            for i, (state, depth) in enumerate(at):
+                states = _states(turns[first:stop], fixed[first:stop], state)
+                depths = depth + np.concatenate([[0], np.cumsum(np.where(states[:-1] == 0, outer[first:stop], inner[first:stop]))])
+                found[i, first:stop], found[2 + i, first:stop] = states[:-1], depths[:-1]
+                at[i] = (int(states[-1]), int(depths[-1]))
+        told = [batch.column(name).cast(PIECE.field(name).type) for name in ("file", "range", "nth", "text")]
+        told += [pa.repeat(pa.scalar(False), batch.num_rows), *map(pa.array, found)]
+        yield pa.RecordBatch.from_arrays([column.cast(field.type) for column, field in zip(told, PIECE)], schema=PIECE)
+    if place:
+        yield _behind(place, opener, at)
+
+
+def _kept_pieces(pieces: DataFrame, effect: dict[str, Column], name: str) -> DataFrame:
+    effect = {"outer": F.lit(0), "inner": F.lit(0), **effect, "fixed": F.coalesce(effect["fixed"], F.lit(-1))}
+    return written(arrow_map(pieces.withColumns(effect), _local_states, PIECE_SQL), name)
+
+
 def _state_before(rows: Window, start: Column) -> dict[str, Column]:
     """Columns, one after the other, that end in ``state``: the state before each row, given the one at the start."""
     earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
@@ -79,86 +145,111 @@ def _with_steps(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
     return df
 
 
-def _starts(pieces: DataFrame, depths: bool) -> DataFrame:
-    """(file, range, start, depth, root): the state and depth that each range starts in, and the depth between two records
-    of its file, which is one within an array; one row for each range."""
-    inside = Window.partitionBy("file", "range").orderBy("nth")
-    local = _with_steps(pieces, _state_before(inside, F.lit(0)))
-    if depths:  # of pieces by the state they have if the range starts outside a string, and if it starts inside
-        local = local.withColumns({"from_0": F.when(F.col("state") == 0, F.col("outer")).otherwise(F.col("inner")), "from_1": F.when(F.col("state") == 0, F.col("inner")).otherwise(F.col("outer"))})
-    ends = F.max_by(F.struct("turns", "fixed", "turned", "last"), "nth").alias("end")
-    opener = F.substring(F.regexp_replace("text", r"\A[\s\x{feff}]*+", ""), 1, 1)
-    sums = [F.sum("from_0").alias("from_0"), F.sum("from_1").alias("from_1"), F.min_by(opener, "nth").alias("opener")] if depths else []
-    ranges = local.groupBy("file", "range").agg(ends, *sums)
-    #: the effect of a whole range: its last fixed state and the turns behind it, or all turns
-    turns = F.col("end.turned") + F.col("end.turns")
-    fixed = F.coalesce(F.col("end.fixed"), F.when(F.col("end.last").isNotNull(), (F.col("end.last.fixed") + turns - F.col("end.last.turned")) % 2))
-    ranges = ranges.withColumns({"fixed": fixed, "turns": F.when(fixed.isNotNull(), 0).otherwise(turns % 2)})
+def _known(pieces: DataFrame) -> DataFrame:
+    """Pieces with ``state`` and ``at``, the state and depth each is read in, and ``root``, the depth between two records
+    of its file, which is one within an array. What each range starts in is one row for each, as many as Spark lists
+    on the driver to read the files at all."""
+    same = F.col("state_0") == F.col("state_1")
+    ranges = pieces.where("ends").withColumns({"fixed": F.when(same, F.col("state_0")), "turns": F.when(same, 0).otherwise(F.col("state_0"))})
     over_file = Window.partitionBy("file").orderBy("range")
     ranges = _with_steps(ranges, _state_before(over_file, F.lit(0))).withColumnRenamed("state", "start")
-    if not depths:
-        return ranges.select("file", "range", "start")
-    added = F.when(F.col("start") == 0, F.col("from_0")).otherwise(F.col("from_1"))
-    before = F.sum("added").over(over_file.rowsBetween(Window.unboundedPreceding, -1))
-    root = F.first("opener").over(over_file.rowsBetween(Window.unboundedPreceding, 0)) == "["
-    return ranges.withColumn("added", added).select("file", "range", "start", F.coalesce(before, F.lit(0)).alias("depth"), root.cast("int").alias("root"))
-
-
-def _assembled(marked: DataFrame, glue: str) -> DataFrame:
-    """(file, range, number, record) from pieces whose ``begins`` says whether a record begins there."""
-    inside = Window.partitionBy("file", "range").orderBy("nth")
-    numbered = marked.withColumn("number", F.sum(F.col("begins").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda piece: piece["text"])
-    records = numbered.groupBy("file", "range", "number").agg(F.array_join(texts, glue).alias("record"))
-    last = F.max("number").over(Window.partitionBy("file", "range"))
-    records = records.withColumn("open", (F.col("number") == 0) | (F.col("number") == last))
-    over_file = Window.partitionBy("file").orderBy("range", "number").rowsBetween(Window.unboundedPreceding, 0)
-    parts = records.where("open").withColumn("nth", F.sum((F.col("number") > 0).cast("int")).over(over_file))
-    place = F.struct("range", "number")
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("range", "number", "record"))), lambda part: part["record"])
-    stitched = parts.groupBy("file", "nth").agg(F.min(place).alias("place"), F.array_join(joined, glue).alias("record"))
-    whole = records.where("NOT open").select("file", "range", "number", "record")
-    return whole.unionByName(stitched.select("file", "place.range", "place.number", "record"))
-
-
-def _kept(pieces: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(pieces.sparkSession, name)
-    pieces.write.parquet(path)
-    return pieces.sparkSession.read.parquet(path)
+    ranges = ranges.withColumn("added", F.when(F.col("start") == 0, F.col("depth_0")).otherwise(F.col("depth_1")))
+    depth = F.coalesce(F.sum("added").over(over_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("depth")
+    root = (F.first("text").over(over_file.rowsBetween(Window.unboundedPreceding, 0)) == "[").cast("int").alias("root")
+    known = pieces.where("NOT ends").join(F.broadcast(ranges.select("file", "range", "start", depth, root)), ["file", "range"])
+    outside = F.col("start") == 0
+    return known.withColumns({
+        "state": F.when(outside, F.col("state_0")).otherwise(F.col("state_1")),
+        "at": F.col("depth") + F.when(outside, F.col("depth_0")).otherwise(F.col("depth_1")),
+    })
+
+
+def _part(place: tuple, nth: int, begins: bool, whole: bool, texts: list[str], glue: str) -> pa.RecordBatch:
+    row = (*place, nth, begins, whole, glue.join(texts))
+    return pa.RecordBatch.from_arrays([pa.array([value], field.type) for value, field in zip(row, PART)], schema=PART)
+
+
+def _joined(glue: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces joined to records as far as they follow each other in a task. Parts that may go on, or that lack their
+    beginning, are not ``whole``."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        following, held = None, None  # place and nth that go on with what is held; (nth, begins, texts)
+        for batch in batches:
+            for first, stop in _runs(batch) if batch.num_rows else ():
+                place = (batch.column("file")[first].as_py(), batch.column("range")[first].as_py())
+                run = batch.slice(first, stop - first)
+                if held and following != (*place, run.column("nth")[0].as_py()):
+                    yield _part(following[:2], *held[:2], False, held[2], glue)
+                    held = None
+                following = (*place, run.column("nth")[-1].as_py() + 1)
+                run = run.filter(run.column("kept"))
+                if not run.num_rows:
+                    continue
+                nth, text = run.column("nth").to_numpy(), run.column("text")
+                begins = np.flatnonzero(run.column("begins").to_numpy(zero_copy_only=False))
+                lead = int(begins[0]) if len(begins) else run.num_rows
+                if lead:
+                    held = held or (int(nth[0]), False, [])
+                    held[2].extend(text[:lead].to_pylist())
+                if not len(begins):
+                    continue
+                if held:
+                    yield _part(place, held[0], held[1], held[1], held[2], glue)
+                if len(begins) > 1:
+                    records = pc.binary_join(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), text), glue)
+                    n = len(records)
+                    told = [pa.repeat(pa.scalar(value, PART[i].type), n) for i, value in enumerate(place)]
+                    told += [pa.array(nth[begins[:-1]]), pa.repeat(pa.scalar(True), n), pa.repeat(pa.scalar(True), n), records.cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays(told, schema=PART)
+                held = (int(nth[begins[-1]]), True, text[int(begins[-1]) :].to_pylist())
+        if held:
+            yield _part(following[:2], *held[:2], False, held[2], glue)
+
+    return join
+
+
+def _assembled(marked: DataFrame, ranges: int, glue: str) -> DataFrame:
+    """(file, range, nth, first, record) from pieces whose ``begins`` says whether a record begins there; those not
+    ``kept`` belong to none. ``first`` tells a file's first record."""
+    pieces, context = marked.select("file", "range", "nth", "text", "begins", "kept"), marked.sparkSession.sparkContext
+    # tiny ranges make tasks without rows, and each would start a Python worker: no more tasks than ranges or cores
+    pieces = pieces.coalesce(max(ranges, context.defaultParallelism))
+    parts = written(arrow_map(pieces, _joined(glue), PART_SQL), "records-parts")
+    over_file = Window.partitionBy("file").orderBy("range", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    open_parts = parts.where("NOT whole").withColumn("number", F.sum(F.col("begins").cast("int")).over(over_file))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("range", "nth", "record"))), lambda part: part["record"])
+    stitched = open_parts.groupBy("file", "number").agg(F.min(F.struct("range", "nth")).alias("place"), F.array_join(texts, glue).alias("record"))
+    records = parts.where("whole").select("file", "range", "nth", "record")
+    records = records.unionByName(stitched.select("file", "place.range", "place.nth", "record"))
+    least = parts.where("begins").groupBy("file", "range").agg(F.min("nth").alias("nth")).groupBy("file").agg(F.min(F.struct("range", "nth")).alias("least"))
+    first = (F.col("range") == F.col("least.range")) & (F.col("nth") == F.col("least.nth"))
+    return records.join(F.broadcast(least), "file").select("file", "range", "nth", first.alias("first"), "record")
 
 
 def csv_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of CSV files with their effects, written once."""
-    pieces = _pieces(spark, path, "\n")
-    return _kept(pieces.withColumns(_csv_effect(F.regexp_replace("text", "\r$", ""))), "csv-pieces")
+    """The lines of CSV files with the states they may be read in, written once."""
+    return _kept_pieces(_pieces(spark, path, "\n"), _csv_effect(F.regexp_replace("text", "\r$", "")), "csv-pieces")
 
 
 def csv_records(pieces: DataFrame) -> DataFrame:
-    """(file, range, number, record): the records of CSV files, whatever line breaks their quoted fields hold. Number 1 of
-    range 0 is a file's first record. Empty lines between records are none. A quote inside a field that does not begin
-    with one is a letter like any other."""
-    started = pieces.join(_starts(pieces, depths=False), ["file", "range"])
-    known = _with_steps(started, _state_before(Window.partitionBy("file", "range").orderBy("nth"), F.col("start")))
-    known = known.where((F.col("state") == 1) | ~F.col("text").isin("", "\r", "\ufeff"))
-    records = _assembled(known.withColumn("begins", F.col("state") == 0), "\n")
+    """(file, range, nth, first, record): the records of CSV files, whatever line breaks their quoted fields hold. Empty
+    lines between records are none. A quote inside a field that does not begin with one is a letter like any other."""
+    outside = F.col("state") == 0
+    kept = ~outside | ~F.col("text").isin("", "\r", "\ufeff")
+    records = _assembled(_known(pieces).withColumns({"begins": outside, "kept": kept}), pieces.where("ends").count(), "\n")
     return records.withColumn("record", F.regexp_replace(F.regexp_replace("record", "\r$", ""), "^\ufeff", ""))
 
 
 def json_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files cut behind every closing brace, with the effects of what is between, written once."""
-    pieces = _pieces(spark, path, "}")
-    return _kept(pieces.withColumns(_json_effect(F.col("text"))), "json-pieces")
+    """JSON files cut behind every closing brace, with the states and depths each piece may be read in, written once."""
+    return _kept_pieces(_pieces(spark, path, "}"), _json_effect(F.col("text")), "json-pieces")
 
 
 def json_records(pieces: DataFrame) -> DataFrame:
-    """(file, range, number, record): the objects of JSON documents that are one array, or one object, each on one line."""
-    started = pieces.join(_starts(pieces, depths=True), ["file", "range"])
-    inside = Window.partitionBy("file", "range").orderBy("nth")
-    known = _with_steps(started, _state_before(inside, F.col("start")))
-    known = known.withColumn("added", F.when(F.col("state") == 0, F.col("outer")).otherwise(F.col("inner")))
-    at = F.col("depth") + F.coalesce(F.sum("added").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    known = known.withColumn("at", at)
-    records = _assembled(known.withColumn("begins", (F.col("at") <= F.col("root")) & (F.col("state") == 0)), "}")
+    """(file, range, nth, first, record): the objects of JSON documents that are one array, or one object, each on one line."""
+    begins = (F.col("at") <= F.col("root")) & (F.col("state") == 0)
+    records = _assembled(_known(pieces).withColumns({"begins": begins, "kept": F.lit(True)}), pieces.where("ends").count(), "}")
     #: what lies between objects, and the end of the array, hangs on the front of the next one
     bare = F.regexp_replace(F.regexp_replace("record", "[\r\n]+", " "), r"\A[\s,\[\x{feff}]*+", "")
     records = records.withColumn("record", bare).where(~F.col("record").rlike(r"\A[\s\]]*\z"))

@@ -2,6 +2,7 @@ import csv
 import io
 import json
 import random
+import re
 
 import pytest
 
@@ -107,3 +108,29 @@ def test_json_documents_of_one_object_and_of_none(spark, tmp_path):
     for name, text in {"a": '{"id": 1, "x": {"y": "}"}}', "b": '﻿\n [ {"id": 2, "x": {"y": "["}} , {"id": 3}\n]\n', "c": "[]", "d": '[{"id": 4}]'}.items():
         (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
     assert sorted((row["id"], row["x.y"]) for row in read_json(spark, str(tmp_path)).collect()) == [(1, "}"), (2, "["), (3, None), (4, None)]
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_no_task_sorts_the_pieces_of_a_range(spark, tmp_path, capsys, kind):
+    path = tmp_path / f"t.{kind}"
+    if kind == "csv":
+        written(path, [[str(i), "a\nb", "", ""] for i in range(20)])
+        records = csv_records(csv_pieces(spark, str(path)))
+    else:
+        path.write_text(json.dumps([{"i": i, "s": "}"} for i in range(21)]))
+        records = json_records(json_pieces(spark, str(path)))
+    assert records.where("record <> ''").count() == 21
+    capsys.readouterr()
+    records.explain()
+    plan = capsys.readouterr().out
+    assert not re.search(r"windowspecdefinition\(file#\d+, range#\d+L, nth", plan)
+    assert not re.search(r"hashpartitioning\(file#\d+, range#\d+L, number", plan)
+
+
+def test_pieces_that_are_read_back_in_any_order(small_ranges, tmp_path):
+    rows = [[str(i), "a\nb", '"', "\n\n" * (i % 3)] for i in range(60)]
+    pieces = csv_pieces(small_ranges, written(tmp_path / "t.csv", rows))
+    for read in (pieces, pieces.repartition(5), pieces.repartition(1).sortWithinPartitions("nth", ascending=False)):
+        records = csv_records(read).collect()
+        assert sorted(next(csv.reader(io.StringIO(row["record"], newline=""))) for row in records) == sorted([["id", "b", "c", "d"], *rows])
+        assert [row["record"] for row in records if row["first"]] == ["id,b,c,d"]
