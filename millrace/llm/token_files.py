@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
@@ -31,20 +32,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..schema import ref, require
 from ..session import scratch_path
 from .common import arrow_map
-from .pieces import PIECES_REMEMBERED, PieceMemory, pre_tokens
+from .pieces import PIECES_REMEMBERED, RecentValues, cut
 from .storage import new_file, store_of
 
 #: Fixed values of the formats.
 SKIPPABLE, SEEK_TABLE, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
-DOCUMENTS_AT_ONCE = 256
+BYTES_AT_ONCE = 8 << 20  # of texts, or one document
 WORDS_AT_ONCE = 2_000  # that the library gets as one text
 MANIFEST = "path string, first long, first_null boolean, n_docs long, n_ids long"
 
 
 class Encoder:
-    """Ids of whole texts as bytes, from the tokenizers library; ids of pieces already met are remembered."""
+    """Ids of whole texts as bytes, from the tokenizers library; ids of pieces met of late are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,37 +54,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = {token.content: np.uint32(number).tobytes() for number, token in added.items()}
-        self.line_end = self._ids(["\n"])[0]
-        self.tokens: dict[str, bytes] = {}
-        self.memory = PieceMemory(self._learn)
+        entries = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(entries.values()) + 1, np.int64)  # in bytes, for which one letter stands each
+        self.sizes[list(entries.values())] = list(map(len, entries))
+        self.sizes[list(added)] = 0
+        self.memory = RecentValues(self._learn, PIECES_REMEMBERED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(found.ids, "<u4").tobytes() for found in encoded]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens that are a space and letters: as one text, which the library cuts into them again."""
-        found = self.tokenizer.encode("".join(words), add_special_tokens=False)
-        numbers = np.array(found.word_ids, np.int64)
-        first = np.flatnonzero(np.diff(numbers, prepend=-1))
-        if len(first) != len(words):
+        """Ids of pieces that are a space and letters: as one text, which the library cuts into them again. Where a
+        word ends is told by the sizes of tokens."""
+        content = self._ids(["".join(words)])[0]
+        ends = np.cumsum(self.sizes[np.frombuffer(content, "<u4")])
+        wanted = np.cumsum([len(word.encode()) for word in words])
+        last = np.searchsorted(ends, wanted)
+        if ends[-1] != wanted[-1] or (ends[last] != wanted).any():
             return self._ids(words)
-        content, cuts = np.array(found.ids, "<u4").tobytes(), [*(4 * first).tolist(), 4 * len(numbers)]
+        cuts = [0, *(4 * last + 4).tolist()]
         return [content[start:stop] for start, stop in zip(cuts, cuts[1:])]
 
-    def _learn(self, pieces: list[str], space: str) -> list[bytes]:
-        split = [pre_tokens(piece, space) for piece in pieces]
-        new = {token for parts in split for token in parts if token not in self.tokens}
-        words = [token for token in new if token[0] == " " and token[1:].isalpha()]
-        others = list(new.difference(words))
-        if len(self.tokens) + len(new) > PIECES_REMEMBERED:
-            self.tokens.clear()
-            return self._ids([space + piece for piece in pieces])
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        words = [piece for piece in pieces if piece[0] == " " and piece[1:].isalpha()]
+        others = list(set(pieces).difference(words))
+        known = dict(zip(others, self._ids(others)))
         for start in range(0, len(words), WORDS_AT_ONCE):
             chosen = words[start : start + WORDS_AT_ONCE]
-            self.tokens.update(zip(chosen, self._words(chosen)))
-        self.tokens.update(zip(others, self._ids(others)))
-        return [b"".join(map(self.tokens.__getitem__, parts)) for parts in split]
+            known.update(zip(chosen, self._words(chosen)))
+        return [known[piece] for piece in pieces]
 
     def _segments(self, text: str) -> list[tuple[str, bytes]]:
         """Stretches of ordinary text, each with the special token behind it (none behind the last)."""
@@ -96,12 +96,27 @@ class Encoder:
             segments = split
         return segments
 
+    def _ordinary(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """Ids of each text; none holds a special token."""
+        pieces, first = cut(texts)
+        coded = pieces.dictionary_encode()
+        values = self.memory.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        joined = pa.array(values, pa.large_binary()).take(coded.indices)
+        content, places = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int64)
+        ends = places[first].tolist()
+        return (bytes(content[start:stop]) for start, stop in zip(ends, ends[1:]))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, none for a null."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not any(pc.any(pc.match_substring(texts, special)).as_py() for special in self.specials):
+            return self._ordinary(texts)
+        split = [self._segments(text) for text in texts.to_pylist()]
+        ids = self._ordinary(pa.array([part for segments in split for part, _ in segments], pa.string()))
+        return (b"".join([next(ids) + after for _, after in segments]) for segments in split)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        segments = [(place, part, after) for place, text in enumerate(texts) for part, after in self._segments(text or "")]
-        found: list[list[bytes]] = [[] for _ in texts]
-        for (place, _, after), lines in zip(segments, self.memory.lines_of([part for _, part, _ in segments])):
-            found[place].append(self.line_end.join(head + b"".join(tail) for head, tail in lines) + after)
-        return [b"".join(parts) for parts in found]
+        return list(self.encode_column(pa.array(texts, pa.string())))
 
 
 @lru_cache(maxsize=2)
@@ -120,6 +135,14 @@ def tables_of(keys: list[int | None], frames: list[tuple[int, int, int]]) -> byt
     return _skippable(SKIPPABLE, names) + _skippable(SEEK_TABLE, seek)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts begin within so many bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // BYTES_AT_ONCE
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    return (batch.slice(start, stop - start) for start, stop in zip(starts, [*starts[1:], batch.num_rows]))
+
+
 def _write(folder: str, vocabulary: str, end: int):
     """One file for a task; its rows come in order."""
 
@@ -128,13 +151,12 @@ def _write(folder: str, vocabulary: str, end: int):
         last = np.uint32(end).tobytes()
         keys, frames, total, file = [], [], 0, None
         for whole in batches:
-            for start in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
-                batch = whole.slice(start, DOCUMENTS_AT_ONCE)
+            for batch in _slices(whole):
                 if file is None:
                     path, store, inside = new_file(folder, ".ids.zst")
                     file = store.open_output_stream(inside, compression=None)
                 keys += batch.column(0).to_pylist()
-                for ids in encoder.encode(batch.column(1).to_pylist()):
+                for ids in encoder.encode_column(batch.column(1)):
                     ids += last
                     packed = packer.compress(ids)
                     file.write(packed)

@@ -4,12 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 from tokenizers import Tokenizer  # noqa: E402
 
 from millrace.llm import pieces  # noqa: E402
+from millrace.llm.pieces import cut as pieces_of  # noqa: E402
 from millrace.llm.token_counts import Merges, token_counts  # noqa: E402
 from millrace.llm.token_files import Encoder, TokenFile, read_digests, write_token_files  # noqa: E402
 
@@ -44,6 +46,66 @@ def test_counts_and_ids_of_odd_texts(library, monkeypatch, remembered):
         assert encoder.encode(part) == [ids.tobytes() for ids in wanted[start : start + 100]]
 
 
+def strange_texts(n):
+    """Characters of all kinds, among them every ASCII one and all white space, beside words."""
+    generator = random.Random(8)
+    spaces = [chr(code) for code in [*range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]]
+    blocks = [(0, 0x80), (0xA0, 0x300), (0x300, 0x800), (0x800, 0xD800), (0xE000, 0x10000), (0x10000, 0x1FFFF)]
+    kinds = [lambda: chr(generator.randrange(*generator.choice(blocks))), lambda: chr(generator.randrange(128)), lambda: generator.choice(spaces), lambda: generator.choice(PARTS + ["'s", "'", " ", "\n"])]
+    return ["".join(generator.choice(kinds)() for _ in range(generator.randrange(30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("remembered", [1_000_000, 50])
+def test_ids_of_strange_texts(library, monkeypatch, remembered):
+    monkeypatch.setattr("millrace.llm.token_files.PIECES_REMEMBERED", remembered)
+    texts, encoder = strange_texts(6_000), Encoder(PATH)
+    for start in range(0, len(texts), 1_000):
+        part = texts[start : start + 1_000]
+        assert encoder.encode(part) == [ids.tobytes() for ids in ids_of(library, part)]
+
+
+def test_a_column_is_cut_where_pre_tokens_end():
+    texts = pa.array(["left out", "Thé, (word) x12!\n\n Ein\nZ'sa", "", " \t", "漢字 б, 2\u3000 a\xa0 b× c” ế か d", "a"])
+    pieces, first = pieces_of(texts[1:])
+    assert first.tolist() == [0, 12, 12, 13, 20, 21]
+    lines = ["Thé", ",", " (", "word", ")", " x", "12", "!", "\n\n Ein", "\n", "Z", "'sa"]
+    assert pieces.to_pylist() == [*lines, " \t", "漢字", " б,", " 2\u3000 a\xa0 b×", " c”", " ế", " か", " d", "a"]
+    assert "".join(pieces.to_pylist()) == "".join(texts[1:].to_pylist())
+
+
+def test_a_column_of_any_layout_is_encoded(library):
+    texts = ["before", "one, two", None, "", "a<|endoftext|> b", "after"]
+    wanted = [ids.tobytes() for ids in ids_of(library, texts)]
+    encoder = Encoder(PATH)
+    for kind in (pa.string(), pa.large_string()):
+        assert list(encoder.encode_column(pa.array(texts, kind)[1:5])) == wanted[1:5]
+        assert list(encoder.encode_column(pa.array([None, ""], kind))) == [b"", b""]
+        assert list(encoder.encode_column(pa.array([], kind))) == []
+
+
+def test_frequent_words_are_asked_once_however_many_rare_ones_pass(monkeypatch):
+    monkeypatch.setattr(pieces, "PIECES_REMEMBERED", 200)
+    monkeypatch.setattr("millrace.llm.token_files.PIECES_REMEMBERED", 200)
+    encoder, asked = Encoder(PATH), []
+
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return self.tokenizer.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Watched(encoder.tokenizer)
+    for number in range(50):
+        encoder.encode([f"go frequent {' '.join(f'rare{chr(97 + number % 26)}{chr(97 + number // 26)}{chr(97 + i)}' for i in range(20))}, frequent. frequent"])
+    assert sum(text.count("frequent") for text in asked) == 1
+
+
 def test_token_counts(spark, odd_docs, odd_rows, no_docs, library):
     result = token_counts(odd_docs, limit=100)
     wanted = sorted(((row[0], len((row[1] or "").encode()), len(ids), len(ids) > 100) for row, ids in zip(odd_rows, ids_of(library, [row[1] for row in odd_rows]))), key=repr)
